@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from loomfeat.llm import neardup
+from loomfeat.llm import decontaminate, neardup, quality
 
-QUERIES = {"op9_minhash_near_dedup": neardup.op9}
+QUERIES = {
+    "op3_quality_classifier": quality.op3,
+    "op8_benchmark_decontamination": decontaminate.op8,
+    "op9_minhash_near_dedup": neardup.op9,
+}
 ORACLES: dict[str, str] = {}
