@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomfeat.llm import decontaminate, neardup, quality
+from loomfeat.llm import decontaminate, neardup, pii, quality
 
 QUERIES = {
     "op3_quality_classifier": quality.op3,
     "op8_benchmark_decontamination": decontaminate.op8,
     "op9_minhash_near_dedup": neardup.op9,
+    "op10_pii": pii.op10,
 }
 ORACLES: dict[str, str] = {}
