@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomfeat.llm import decontaminate, neardup, pii, quality
+from loomfeat.llm import decontaminate, neardup, pieces, pii, quality
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1,
     "op3_quality_classifier": quality.op3,
     "op8_benchmark_decontamination": decontaminate.op8,
     "op9_minhash_near_dedup": neardup.op9,

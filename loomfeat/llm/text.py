@@ -100,18 +100,23 @@ class Words:
         self.hash = span_hash(low, self.start, self.end)
 
 
+class Spans:
+    """Hashes of spans of one buffer."""
+
+    def __init__(self, data: np.ndarray):
+        power, self.inverse = _powers(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, _U)
+        np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=self.sums[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = (self.sums[end] - self.sums[start]) * self.inverse[start]
+        out ^= (end - start).astype(_U) * _U(0xD6E8FEB86659FD93)
+        return mix(out)
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, the same wherever the span lies."""
-    out = np.zeros(len(start), _U)
-    if not len(start):
-        return out
-    n = len(data)
-    power, inverse = _powers(n + 1)
-    sums = np.zeros(n + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * power[:n], out=sums[1:])
-    out = (sums[end] - sums[start]) * inverse[start]
-    out ^= (end - start).astype(_U) * _U(0xD6E8FEB86659FD93)
-    return mix(out)
+    return Spans(data)(start, end) if len(start) else np.zeros(0, _U)
 
 
 _cache: dict[str, np.ndarray] = {}
