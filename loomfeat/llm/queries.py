@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from loomfeat.llm import decontaminate, neardup, pieces, pii, quality, tokencount, toxicity
+from loomfeat.llm import chat, decontaminate, neardup, pieces, pii, quality, tokencount, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
     "op3_quality_classifier": quality.op3,
     "op4_token_counts": tokencount.op4,
     "op5_toxicity": toxicity.op5,
+    "op6_chat_formatting": chat.op6,
     "op8_benchmark_decontamination": decontaminate.op8,
     "op9_minhash_near_dedup": neardup.op9,
     "op10_pii": pii.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_chat_formatting": chat.ORACLE}
