@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomfeat.llm import chat, decontaminate, neardup, pieces, pii, quality, tokencount, toxicity
+from loomfeat.llm import chat, decontaminate, html, neardup, pieces, pii, quality, tokencount, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_counts": tokencount.op4,
     "op5_toxicity": toxicity.op5,
     "op6_chat_formatting": chat.op6,
+    "op7_html_extraction": html.op7,
     "op8_benchmark_decontamination": decontaminate.op8,
     "op9_minhash_near_dedup": neardup.op9,
     "op10_pii": pii.op10,
