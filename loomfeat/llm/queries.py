@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomfeat.llm import chat, decontaminate, html, neardup, pieces, pii, quality, tokencount, toxicity
+from loomfeat.llm import chat, decontaminate, html, neardup, neighbours, pieces, pii, quality, tokencount, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
+    "op2_nearest_neighbours": neighbours.op2,
     "op3_quality_classifier": quality.op3,
     "op4_token_counts": tokencount.op4,
     "op5_toxicity": toxicity.op5,
