@@ -32,7 +32,7 @@ CHUNK_BYTES = 4_000_000  # of items in one automaton; more items make further pa
 def compared(column: pa.Array) -> Iterator[str]:
     """Each row's compared bytes, one character a byte."""
     data, off = T.utf8(column)
-    for a, b in T.slices(off, 4 << 20):
+    for a, b in T.slices(off, 1 << 20):
         part = data[off[a] : off[b]]
         keep = T.WORD[part]
         at = np.r_[0, np.cumsum(keep)][off[a : b + 1] - off[a]]

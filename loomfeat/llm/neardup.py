@@ -89,7 +89,7 @@ def _sign(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = T.utf8(batch.column(1))
-            for a, b in T.slices(off, 2 << 20):
+            for a, b in T.slices(off, 1 << 20):
                 row, h = T.shingles(T.Words(data[off[a] : off[b]], off[a : b + 1] - off[a]), shingle)
                 first = np.searchsorted(row, np.arange(b - a + 1))
                 some = first[1:] > first[:-1]
@@ -108,7 +108,7 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = T.utf8(batch.column(1))
-            for a, b in T.slices(off, 4 << 20):
+            for a, b in T.slices(off, 1 << 20):
                 row, h = T.shingles(T.Words(data[off[a] : off[b]], off[a : b + 1] - off[a]), shingle)
                 first = np.searchsorted(row, np.arange(b - a + 1))
                 sets = [np.sort((h[first[i] : first[i + 1]] >> _U(32)).astype(np.uint32)).tobytes() for i in range(b - a)]

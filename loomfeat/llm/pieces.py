@@ -30,7 +30,7 @@ from loomfeat.llm.shared import read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, ZIPF, SEED = 0.5, 2.7, 1
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 _SPACE, _SIGN = 0x2581, 0x110000  # the sign itself becomes a code beyond Unicode until its bytes are written
 _FALLBACK = 1 << 22

@@ -222,7 +222,10 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD, local_patterns: int =
         texts = column.to_pylist()
         for r in rows.tolist():
             texts[r] = mask(texts[r], scores, threshold)
-        return pa.array(texts, pa.string())
+        out = pa.array(texts, pa.string())
+        del texts
+        T.trim()
+        return out
 
     return _with_text(docs, run(F.col("text")))
 

@@ -49,7 +49,7 @@ def _distinct(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
 def features(column: pa.Array) -> np.ndarray:
     """(rows, len(FEATURES)) of whole texts; rows without a word are all zero."""
     data, off = T.utf8(column)
-    return np.concatenate([_slice(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in T.slices(off, 2 << 20)] or [np.zeros((0, len(FEATURES)))])
+    return np.concatenate([_slice(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in T.slices(off, 1 << 20)] or [np.zeros((0, len(FEATURES)))])
 
 
 def _slice(data: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -9,9 +9,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_BYTES, ARROW_ROWS = "8m", "2000"  # of an Arrow batch: what a Python worker and its JVM hold at once; UDFs heed only the rows
+
 _made: list[tuple[SparkSession, str]] = []
 
 
+def modest(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of ARROW_BYTES and ARROW_ROWS unless the cluster sets its own; a longer row is a batch of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64m", "67108864"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return spark
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder in the one that the cluster names in spark.checkpoint.dir.
 
@@ -44,7 +55,7 @@ atexit.register(clean)
 
 def written(df: DataFrame) -> DataFrame:
     """The same rows, read from a table in the shared folder: lineage ends there and losing an executor loses nothing."""
-    path = scratch(df.sparkSession)
+    path = scratch(modest(df.sparkSession))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -59,4 +70,4 @@ def within(df: DataFrame, keys: DataFrame, on: str, broadcast_rows: int = 2_000_
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return modest(spark).read.parquet(f"{sf_dir}/{table}.parquet")

@@ -6,12 +6,14 @@ few nanoseconds a byte and no Python string is made.  A null text counts as the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere nothing is done
 MULT = 0x9E3779B97F4A7C15 | 1
 _POW_LEN = 1 << 16
 
@@ -66,6 +68,14 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
         yield a, b
         a = b
+    trim()
+
+
+def trim() -> None:
+    """Give memory that was freed back to the system: an executor's workers live on while others of it need more."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def fold(data: np.ndarray) -> np.ndarray:

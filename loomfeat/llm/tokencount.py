@@ -63,7 +63,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, eod: int
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1)
                 _, off = T.utf8(texts)
-                for a, b in T.slices(off, 4 << 20):
+                for a, b in T.slices(off, 1 << 20):
                     for x in texts.slice(a, b - a):
                         x = x.as_py()
                         tokens = encoding.encode_ordinary(x) if x else []

@@ -31,7 +31,7 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, term) of the distinct terms of each row, in order."""
     data, off = T.utf8(column)
     rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b in T.slices(off, 2 << 20):
+    for a, b in T.slices(off, 1 << 20):
         w = T.Words(data[off[a] : off[b]], off[a : b + 1] - off[a])
         key = np.sort((w.row.astype(np.int64) << BITS) | (w.hash >> np.uint64(64 - BITS)).astype(np.int64))
         key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
