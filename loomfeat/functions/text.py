@@ -36,8 +36,13 @@ def multi_hot(x: Column, vocabulary: Sequence[str]) -> Column:
 
 
 def ngrams(x: Column, n: int) -> Column:
+    """Runs of ``n`` tokens.  The shifted arrays are joined pairwise: a lambda over positions would cut the whole text again for each of them."""
     own = tokens(x)
-    return F.when(F.size(own) >= n, F.transform(F.sequence(F.lit(1), F.size(own) - n + 1), lambda i: F.array_join(F.slice(own, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    many = F.greatest(F.size(own) - (n - 1), F.lit(0))
+    out = F.slice(own, F.lit(1), many)
+    for i in range(1, n):
+        out = F.zip_with(out, F.slice(own, F.lit(i + 1), many), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(own) >= n, out).otherwise(F.array().cast("array<string>"))
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
