@@ -209,7 +209,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD, local_patterns: int =
     found = written(extract(docs))
     confident = pattern_scores(found, threshold, **params)
     if confident.count() > local_patterns:
-        return _redact_by_join(docs, _decided(found, confident, threshold))
+        return _redact_by_join(docs, confident, threshold)
     scores: dict[str, list[tuple[str, float]]] = {}
     for r in confident.collect():
         scores.setdefault(r["pattern"], []).append((r["kind"], r["score"]))
@@ -235,15 +235,38 @@ def _with_text(docs: DataFrame, text: Column) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
-def _redact_by_join(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The same where the patterns are too many for a task: spans are gathered by document."""
-    spans = decided.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
-    text, sp = F.col("text"), F.col("_spans")
-    last = F.array_max(F.transform(sp, lambda s: s["end"]))
-    parts = F.transform(sp, lambda s, i: F.concat(F.substring(text, F.when(i == 0, 1).otherwise(F.get(sp, i - 1)["end"] + 1), s["start"] - F.when(i == 0, 0).otherwise(F.get(sp, i - 1)["end"])), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    masked = F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["doc_id"]), "left").drop(spans["doc_id"])
-    return _with_text(joined, F.when(sp.isNotNull(), masked).otherwise(text)).drop("_spans")
+def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, patterns = [], []
+        for r in _marked(batch.column(1)).tolist():
+            own = {p for *_, found in occurrences(batch.column(1)[r].as_py()) for p in found}
+            keys += [r] * len(own)
+            patterns += own
+        if keys:
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), pa.array(patterns, pa.string())], ["_of", "pattern"])
+
+
+def _redact_by_join(docs: DataFrame, confident: DataFrame, threshold: float) -> DataFrame:
+    """The same where the patterns are too many for a task: each text meets those it holds, by a digest of the text.
+
+    A row's mask depends on its text alone, so rows of one text share their patterns and no doc_id is needed.
+    """
+    digest = F.sha2("text", 256)
+    own = docs.filter("text is not null").select(digest.alias("_of"), "text").mapInArrow(_patterns, "_of string, pattern string").distinct()
+    scores = own.join(confident, "pattern").groupBy("_of").agg(F.collect_list(F.struct("pattern", "kind", "score")).alias("_scores"))
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, scores: pa.Array) -> pa.Array:
+        out = texts.to_pylist()
+        for r in _marked(texts).tolist():
+            of: dict[str, list[tuple[str, float]]] = {}
+            for x in scores[r].as_py() or ():
+                of.setdefault(x["pattern"], []).append((x["kind"], x["score"]))
+            out[r] = mask(out[r], of, threshold)
+        return pa.array(out, pa.string())
+
+    joined = docs.withColumn("_of", digest).join(scores, "_of", "left")
+    return _with_text(joined, run(F.col("text"), F.col("_scores"))).select(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

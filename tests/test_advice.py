@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomfeat.functions import text
+from loomfeat.llm import pii
 from loomfeat.queries import QUERIES, STOP, VOCABULARY
 
 SMALL = "/root/testdata/sf0.001"
@@ -41,3 +42,24 @@ def test_ngrams_of_long_texts(spark, n):
     rows = [(1, " ".join(words)), (2, "one"), (3, ""), (4, None)]
     got = {r["id"]: r["g"] for r in spark.createDataFrame(rows, "id int, x string").select("id", text.ngrams(F.col("x"), n).alias("g")).collect()}
     assert got == {1: [" ".join(words[i : i + n]) for i in range(20000 - n + 1)], 2: ["one"] if n == 1 else [], 3: [], 4: []}
+
+
+def test_redaction_by_join_is_mask_of_each_row(spark):
+    line = "please write to user{0}@mail{0}.org or call +1 555-010-{1} soon; key id {2} ends"
+    texts = [line.format(i, 1000 + i, i * 7919) for i in range(12)]
+    # rows that share a doc_id or have none, with other texts, the same text, and nothing to hide
+    rows = [(1, texts[0]), (1, "shorter: write to a.b@c.org now"), (1, "clean text of the same document, long enough to be cut by foreign spans"), (1, texts[0])]
+    rows += [(None, t) for t in texts] + [(None, "no identifier stands in this text, which has no doc_id either"), (None, None), (2, ""), (3, "room 12 of 40")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    found = pii.extract(df)
+    scores = {}
+    for r in pii.pattern_scores(found).collect():
+        scores.setdefault(r["pattern"], []).append((r["kind"], r["score"]))
+    assert scores
+    want = [(i, t if t is None else pii.mask(t, scores, pii.THRESHOLD)) for i, t in rows]
+    for most in (0, 10**6):
+        got = pii.redact(df, local_patterns=most)
+        assert got.columns == df.columns
+        got = got.collect()
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+        assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(want, key=repr)
