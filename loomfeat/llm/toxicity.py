@@ -3,7 +3,8 @@
 A document is the set of its words, each hashed to one of 2^BITS terms.  Its score is b + sum w_i + sum over pairs <v_i, v_j>
 (Rendle 2010), where the sum over pairs is (|sum v|^2 - sum |v|^2) / 2.  The factors learn what additive weights
 miss: two terms that are harmless apart and toxic together.  Training fits logistic loss on a bounded sample of labelled
-documents and the terms that tell its classes apart; the threshold is the one that errs least on a held-out part of it.
+documents and the terms that tell its classes apart; the threshold is the one that errs least over all labelled documents
+outside the training part.
 
 Defined results: null and empty texts have no terms and the score of the bias, which is negative; a repeated word counts
 once; repeated rows are scored alike, each for itself; null doc_ids are kept; without labels of both classes nothing is toxic.
@@ -15,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomfeat.llm import text as T
@@ -48,7 +49,6 @@ class Machine:
     bias: float
     w: np.ndarray
     v: np.ndarray
-    threshold: float = 0.0
     _known: np.ndarray | None = field(default=None, repr=False, compare=False)
 
     def indexed(self, row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,15 +103,34 @@ def fit(row: np.ndarray, term: np.ndarray, y: np.ndarray, chosen: np.ndarray, fa
     return m
 
 
-def best_cut(score: np.ndarray, y: np.ndarray, clean_weight: float) -> float:
-    """The middle of the widest gap among the cuts with the least error, where a clean row counts ``clean_weight`` times."""
-    order = np.argsort(score, kind="stable")
-    s, t = score[order], y[order]
-    error = np.r_[0, np.cumsum(t)] + clean_weight * ((1 - t).sum() - np.r_[0, np.cumsum(1 - t)])
-    gap = np.r_[1.0, np.diff(s), 1.0]
-    error[gap <= 0] = np.inf
-    k = max(np.flatnonzero(error <= error.min() + 1e-9), key=lambda i: gap[i])
-    return float(s[0] - 1 if k == 0 else s[-1] + 1 if k == len(s) else (s[k - 1] + s[k]) / 2)
+def best_cut(labelled: DataFrame, clean_weight: float) -> float:
+    """The middle of the widest gap among the cuts of (score, y) with the least error, where a clean row counts ``clean_weight`` times.
+
+    Exact over all rows: their counts by score lie in ranges of the score, each range is summed for itself and shifted by
+    the sums of the ranges before it, which are one row a partition.
+    """
+    counts = labelled.groupBy("score").agg(F.sum("y").cast("long").alias("t"), F.sum(1 - F.col("y")).cast("long").alias("c"))
+    ranged = written(counts.repartitionByRange("score").withColumn("p", F.spark_partition_id()))
+    # one row a partition
+    parts = ranged.groupBy("p").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.min("score").alias("lo"), F.max("score").alias("hi")).orderBy("lo").collect()
+    clean, before, rows = sum(x["c"] for x in parts), (0, 0), []
+    for i, x in enumerate(parts):
+        rows.append((x["p"], *before, parts[i - 1]["hi"] if i else None))
+        before = before[0] + x["t"], before[1] + x["c"]
+    shift = F.broadcast(labelled.sparkSession.createDataFrame(rows, "p int, t0 long, c0 long, hi double"))
+    w = Window.partitionBy("p").orderBy("score")
+    last = F.coalesce(F.lag("score").over(w), F.col("hi"))
+    # the cut below each score: toxic rows under it and clean rows from it on are errors
+    below = ranged.join(shift, "p").select("score", last.alias("last"), (F.col("t0") + F.sum("t").over(w) - F.col("t")).alias("toxic"), (F.col("c0") + F.sum("c").over(w) - F.col("c")).alias("clean"))
+    error = F.col("toxic") + clean_weight * (clean - F.col("clean"))
+    cuts = written(below.select("score", "last", error.alias("error")))
+    # the cut above every score leaves all toxic rows as errors
+    lowest, most = min(float(before[0]), cuts.agg(F.min("error")).first()[0]), parts[-1]["hi"]
+    gap = F.coalesce(F.col("score") - F.col("last"), F.lit(1.0))
+    best = cuts.filter(F.col("error") <= lowest + 1e-9 * (1 + lowest)).select("score", "last", gap.alias("gap")).orderBy(F.desc("gap"), "score").first()
+    if best is None or before[0] <= lowest + 1e-9 * (1 + lowest) and best["gap"] < 1:
+        return most + 1
+    return best["score"] - 1 if best["last"] is None else (best["score"] + best["last"]) / 2
 
 
 def _all_terms(text: Column) -> Column:
@@ -132,15 +151,20 @@ def score_of(text: Column, machine: Machine) -> Column:
     return run(text)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine | None:
-    """Fitted on four fifths of the sample, with the threshold from the rest; None without both classes."""
-    toxic = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, y), one row a labelled document."""
+    return labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Machine, np.ndarray] | None:
+    """The machine fitted on four fifths of the sample, still without a threshold, and the doc_ids it was fitted on; None without both classes."""
+    toxic = known_labels(labels)
     order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = toxic.filter("toxic = 1").orderBy(*order).limit(sample_rows).union(toxic.filter("toxic = 0").orderBy(*order).limit(sample_rows))
+    ids = toxic.filter("y = 1").orderBy(*order).limit(sample_rows).union(toxic.filter("y = 0").orderBy(*order).limit(sample_rows))
     # at most 2 * sample_rows ids, so that a broadcast has a fixed size
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    rows = written(known.select("doc_id", "toxic", _all_terms(F.col("text")).alias("terms"))).orderBy("doc_id", "terms").toArrow()
-    y = rows["toxic"].to_numpy().astype(float)
+    rows = written(known.select("doc_id", "y", _all_terms(F.col("text")).alias("terms"))).orderBy("doc_id", "terms").toArrow()
+    y = rows["y"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return None
     lists = rows["terms"].combine_chunks()
@@ -152,23 +176,32 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     renumber = np.cumsum(~held) - 1
     train_at = ~held[row]
     r, t, target = renumber[row[train_at]], term[train_at], y[~held]
-    machine = fit(r, t, target, choose(r, t, target))
-    score = machine.scores(*machine.indexed(row, term), len(y))
-    use = held if held.any() else ~held
-    # the sample holds the classes in other shares than the labels do
-    count = {r["toxic"]: r["count"] for r in toxic.groupBy("toxic").count().collect()}
-    weight = count.get(0, 1) / max(1, (y == 0).sum()) / (count.get(1, 1) / max(1, (y == 1).sum()))
-    machine.threshold = best_cut(score[use], y[use], weight)
-    return machine
+    return fit(r, t, target, choose(r, t, target)), np.unique(rows["doc_id"].to_numpy()[~held])
+
+
+def threshold_of(scores: DataFrame, labels: DataFrame, used: np.ndarray) -> float:
+    """The cut with the least error over every labelled document that the fit did not use; over all of them if those lack a class."""
+    spark = scores.sparkSession
+    seen = F.broadcast(spark.createDataFrame([(int(i), True) for i in used], "doc_id long, used boolean"))
+    known = written(scores.join(known_labels(labels), "doc_id").join(seen, "doc_id", "left").select("score", "y", F.coalesce("used", F.lit(False)).alias("used")))
+    n = known.agg(*[F.count_if((F.col("y") == k) & (F.col("used") == u)).alias(f"{k}{u}") for k in (0, 1) for u in (False, True)]).first()
+    if not (n["0False"] and n["1False"]):
+        return best_cut(known, 1.0)
+    # the fit took other shares of the classes than the labels have
+    weight = ((n["0False"] + n["0True"]) / n["0False"]) / ((n["1False"] + n["1True"]) / n["1False"])
+    return best_cut(known.filter("not used"), weight)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **params: int) -> DataFrame:
     """(doc_id, score, toxic) of every row."""
-    machine = train(docs, labels, **params)
+    fitted = train(docs, labels, **params)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if machine is None:
+    if fitted is None:
         return ids.select("doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("toxic"))
-    return ids.select("doc_id", score_of(F.col("text"), machine).alias("score")).withColumn("toxic", F.col("score") >= machine.threshold)
+    machine, used = fitted
+    # scored once, for the threshold and for the result
+    scores = written(ids.select("doc_id", score_of(F.col("text"), machine).alias("score")))
+    return scores.withColumn("toxic", F.col("score") >= threshold_of(scores, labels, used))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
