@@ -59,18 +59,28 @@ def autocorrelation(a: Column, lags: Sequence[int]) -> Column:
     return _apply(a, kernel)
 
 
-def spectrum(x: np.ndarray, window: str = "none") -> np.ndarray:
-    """Power of the real FFT of each row over the row's maximum."""
+def _rfft(x: np.ndarray, window: str = "none") -> np.ndarray:
     taper = {"none": np.ones, "hann": np.hanning, "hamming": np.hamming}[window](x.shape[1])
-    p = np.abs(np.fft.rfft(x * taper, axis=1)) ** 2
+    return np.fft.rfft(x * taper, axis=1)
+
+
+def _power(z: np.ndarray) -> np.ndarray:
+    p = np.abs(z) ** 2
     return p / np.maximum(p.max(axis=1, keepdims=True), 1e-12)
 
 
+def spectrum(x: np.ndarray, window: str = "none") -> np.ndarray:
+    """Power of the real FFT of each row over the row's maximum."""
+    return _power(_rfft(x, window))
+
+
 def fft(a: Column, mode: str = "power", k: int = 8, window: str = "none") -> Column:
-    """"power": k evenly spaced bins; "full": the first k; "dominant": (power, frequency) of the k strongest; "stats": mean, deviation, maximum, centroid, entropy."""
+    """"power": k evenly spaced bins; "full": the first k; "dominant": (power, bin over the number of bins, phase) of each of the k strongest;
+    "stats": mean, upper median, deviation, skewness, excess kurtosis, and the energy of the bins up to a fifth, up to three fifths, and beyond."""
 
     def kernel(x: np.ndarray) -> np.ndarray:
-        p = spectrum(np.nan_to_num(x), window)
+        z = _rfft(np.nan_to_num(x), window)
+        p = _power(z)
         bins = p.shape[1]
         if mode == "power":
             return p[:, np.linspace(0, bins - 1, min(k, bins)).astype(int)]
@@ -78,8 +88,11 @@ def fft(a: Column, mode: str = "power", k: int = 8, window: str = "none") -> Col
             return p[:, :k]
         if mode == "dominant":
             top = np.argsort(-p, axis=1, kind="stable")[:, :k]
-            return np.concatenate([np.take_along_axis(p, top, 1), top / x.shape[1]], axis=1)
-        share = p / np.maximum(p.sum(1, keepdims=True), 1e-12)
-        return np.stack([p.mean(1), p.std(1), p.max(1), (share * np.arange(bins)).sum(1), -(share * np.log(np.maximum(share, 1e-12))).sum(1)], 1)
+            return np.stack([np.take_along_axis(p, top, 1), top / bins, np.take_along_axis(np.angle(z), top, 1)], axis=2).reshape(len(p), -1)
+        mean, std = p.mean(1), p.std(1)
+        c = p - mean[:, None]
+        low, mid = int(bins * 0.2), int(bins * 0.6)
+        shape = [(c**3).mean(1) / (std**3 + 1e-10), (c**4).mean(1) / (std**4 + 1e-10) - 3]
+        return np.stack([mean, np.sort(p, axis=1)[:, bins // 2], std, *shape, p[:, :low].sum(1), p[:, low:mid].sum(1), p[:, mid:].sum(1)], 1)
 
     return _apply(a, kernel)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomfeat.functions import text
 from loomfeat.llm import pii, toxicity
+from loomfeat.operators import arrays
 from loomfeat.queries import QUERIES, STOP, VOCABULARY
 
 SMALL = "/root/testdata/sf0.001"
@@ -95,3 +96,22 @@ def test_toxic_threshold_sees_labels_beyond_the_sample(spark):
     labels = spark.createDataFrame([(i, int(i < 100)) for i in range(700)], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, labels, sample_rows=60).filter("toxic").count()
     assert got == 0  # flagging would be wrong for 540 clean rows and right for 100 toxic ones
+
+
+@pytest.mark.parametrize("n", [64, 7, 1])
+def test_fft_modes_against_numpy(spark, n):
+    rows = np.random.default_rng(n).normal(size=(5, n))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id int, a array<double>")
+    for r in df.select("id", *[arrays.fft(F.col("a"), m, 4, "hann").alias(m) for m in ("power", "dominant", "stats")]).collect():
+        t = np.arange(n)
+        z = [(rows[r["id"]] * np.hanning(n) * np.exp(-2j * np.pi * j * t / n)).sum() for j in range(n // 2 + 1)]
+        p = np.abs(z) ** 2 / max(np.abs(z) ** 2)
+        bins = len(p)
+        assert np.allclose(r["power"], [p[int(j)] for j in np.linspace(0, bins - 1, min(4, bins))])
+        order = sorted(range(bins), key=lambda j: -p[j])[:4]
+        got = np.reshape(r["dominant"], (-1, 3))
+        assert np.allclose(got[:, :2], [(p[j], j / bins) for j in order])
+        assert np.allclose(np.exp(1j * got[:, 2]), [z[j] / abs(z[j]) for j in order])
+        d, low, mid = p - p.mean(), int(bins * 0.2), int(bins * 0.6)
+        third, fourth = (d**3).mean() / (p.std() ** 3 + 1e-10), (d**4).mean() / (p.std() ** 4 + 1e-10) - 3
+        assert np.allclose(r["stats"], [p.mean(), sorted(p)[bins // 2], p.std(), third, fourth, sum(p[:low]), sum(p[low:mid]), sum(p[mid:])])
