@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomfeat.functions.categorical import hash_bins
+from loomfeat.operators import stats
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -41,14 +42,29 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 def detect_distribution(s: Mapping[str, Column] | None = None) -> Column:
     """The kind of distribution by a ladder over the columns of an aggregate row (zero_ratio, skewness, kurtosis with 3 for a normal one, ...)."""
-    c = s or {k: F.col(k) for k in ("zero_ratio", "unique_ratio", "skewness", "kurtosis", "negative", "bounded01")}
+    c = s or {k: F.col(k) for k in ("zero_ratio", "unique_ratio", "skewness", "kurtosis", "negative", "bounded01", "periodic", "multimodal")}
     skew, kurt = c["skewness"], c["kurtosis"]
     return (
-        F.when(c["zero_ratio"] > 0.5, "sparse").when(c["unique_ratio"] < 0.1, "discrete").when(c["bounded01"] & (F.abs(skew) > 0.5), "beta").when(c["bounded01"], "uniform")
-        .when(~c["negative"] & (skew > 2), "log_normal").when(~c["negative"] & (skew > 1), "exponential").when(~c["negative"] & (skew > 0.5), "gamma").when(kurt > 10, "cauchy").when(kurt > 4, "heavy_tailed").when(c["zero_ratio"] > 0.3, "zero_inflated").otherwise("normal")
+        F.when(c["zero_ratio"] > 0.5, "sparse").when(c["periodic"], "periodic").when(c["unique_ratio"] < 0.1, "discrete").when(c["bounded01"] & (F.abs(skew) > 0.5), "beta").when(c["bounded01"], "uniform")
+        .when(~c["negative"] & (skew > 2), "log_normal").when(~c["negative"] & (skew > 1), "exponential").when(~c["negative"] & (skew > 0.5), "gamma").when(kurt > 10, "cauchy").when(kurt > 4, "heavy_tailed").when(c["multimodal"], "multimodal").when(c["zero_ratio"] > 0.3, "zero_inflated").otherwise("normal")
     )
 
 
+def profile(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> dict[str, dict]:
+    """The statistics of each column, all that detect_distribution and advise_numeric read; ``order`` must be total.
+
+    autocorrelation is the greatest one of the lags, bimodality Sarle's coefficient (skewness^2 + 1) / kurtosis.
+    """
+    row = df.agg(*stats.numeric(columns)).first()
+    out = {c: row[c].asDict() for c in columns}
+    acf = stats.autocorrelations(df, {c: s["mean"] for c, s in out.items()}, order)
+    for c, s in out.items():
+        peaks = s["count"] and stats.modes(stats.histogram(df, c, s["min"], s["max"])).first()["multimodal"]
+        kurtosis = s["kurtosis"] or 0.0
+        s |= {"periodic": stats.periodic(acf[c]), "multimodal": bool(peaks), "autocorrelation": max(acf[c], default=None), "bimodality": (s["skewness"] ** 2 + 1) / kurtosis if kurtosis > 0 else None}
+    return out
+
+
 def advise_numeric(s: Mapping[str, float]) -> dict:
     if s["var"] < 1e-10:
         return {"feature_type": "PASSTHROUGH", "distribution": "constant"}

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +75,58 @@ def modes(counts: DataFrame, bins: int = 100, level: float = 0.1) -> DataFrame:
     return peaks.agg(F.count_if("peak").alias("peaks")).withColumn("multimodal", F.col("peaks") >= 2)
 
 
+MAX_LAG = 20
+
+
+def autocorrelations(df: DataFrame, means: Mapping[str, float | None], order: Sequence[str], max_lag: int = MAX_LAG) -> dict[str, list[float]]:
+    """Of each column the sums of c[t] c[t + k] over the sum of c^2 for k from 1 to ``max_lag`` (n // 3 at most), over all rows by ``order``.
+
+    Rows are range-partitioned and sorted; each partition sums its own products and hands over its first and last
+    ``max_lag`` values, from which come the products across partitions.  NULL and NaN are left out.  Empty for fewer
+    than 3 ``max_lag`` values and for constant columns.
+    """
+    names = list(means)
+    kind = "p int, c int, n long, square double, products array<double>, head array<double>, tail array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = TaskContext.get().partitionId()
+        n, square, products = [0] * len(names), [0.0] * len(names), np.zeros((len(names), max_lag))
+        head, tail = ([np.zeros(0) for _ in names] for _ in range(2))
+        for batch in batches:
+            for i, name in enumerate(names):
+                x = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                x = x[~np.isnan(x)] - (means[name] or 0.0)
+                both = np.concatenate([tail[i], x])
+                for k in range(1, max_lag + 1):
+                    late = both[max(k, len(tail[i])) :]
+                    products[i, k - 1] += late @ both[len(both) - len(late) - k : len(both) - k]
+                n[i], square[i] = n[i] + len(x), square[i] + float(x @ x)
+                head[i], tail[i] = np.concatenate([head[i], x[: max_lag - len(head[i])]]), both[-max_lag:]
+        rows = [{"p": p, "c": i, "n": n[i], "square": square[i], "products": products[i].tolist(), "head": head[i].tolist(), "tail": tail[i].tolist()} for i in range(len(names)) if n[i]]
+        yield from pa.Table.from_pylist(rows, pa.schema([("p", pa.int32()), ("c", pa.int32()), ("n", pa.int64()), ("square", pa.float64()), *((x, pa.list_(pa.float64())) for x in ("products", "head", "tail"))])).to_batches()
+
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`").cast("double") for c in names])
+    parts = ordered.mapInArrow(run, kind).collect()  # one row a partition and column
+    out = {}
+    for i, name in enumerate(names):
+        mine = sorted((x for x in parts if x["c"] == i), key=lambda x: x["p"])
+        n, square, products, last = sum(x["n"] for x in mine), sum(x["square"] for x in mine), np.zeros(max_lag), []
+        for x in mine:
+            products += x["products"]
+            for j, v in enumerate(x["head"]):
+                for k in range(j + 1, min(max_lag, j + len(last)) + 1):
+                    products[k - 1] += v * last[j - k]
+            last = (last + x["tail"])[-max_lag:]
+        out[name] = (products[: n // 3] / square).tolist() if n >= 3 * max_lag and square > 1e-12 else []
+    return out
+
+
+def periodic(acf: Sequence[float], threshold: float = 0.2) -> bool:
+    """Whether a local peak of the autocorrelations, ends included, is above the threshold."""
+    a = [-math.inf, *acf, -math.inf]
+    return len(acf) >= 3 and any(a[i] > max(a[i - 1], a[i + 1], threshold) for i in range(1, len(a) - 1))
+
+
 def rank_to_uniform(df: DataFrame, value: str, tie: str, out: str = "quantile") -> DataFrame:
     """Adds 2 (r + 0.5) / n - 1 for the rank r by (value, tie).
 

@@ -204,9 +204,9 @@ def distribution_aware(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def detect_distribution(spark: SparkSession, d: str) -> DataFrame:
     """Kind of distribution and chosen transform of each column (approximate distinct counts)."""
-    one = table(spark, d, "lineitem").agg(*stats.numeric(NUMBERS))
-    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in NUMBERS])).alias("p")).select("p.feature", "p.s.*")
-    row = one.first()
+    row = advisor.profile(table(spark, d, "lineitem"), NUMBERS, LK.split(", "))
+    kinds = {"zero_ratio": "double", "unique_ratio": "double", "skewness": "double", "kurtosis": "double", "negative": "boolean", "bounded01": "boolean", "periodic": "boolean", "multimodal": "boolean"}
+    rows = spark.createDataFrame([(c, *(row[c][k] for k in kinds)) for c in NUMBERS], "feature string, " + ", ".join(f"{k} {v}" for k, v in kinds.items()))
     chosen = {c: numeric.choose_transform(row[c]["skewness"] or 0.0, (row[c]["kurtosis"] or 3.0) - 3, bool(row[c]["negative"]), (row[c]["zero_ratio"] or 0) > 0, bool(row[c]["bounded01"])) for c in NUMBERS}
     return rows.select("feature", advisor.detect_distribution().alias("distribution"), F.element_at(F.create_map(*[F.lit(y) for kv in chosen.items() for y in kv]), F.col("feature")).alias("transform"))
 

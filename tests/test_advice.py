@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomfeat.functions import text
 from loomfeat.llm import pii, toxicity
-from loomfeat.operators import arrays
+from loomfeat.operators import advisor, arrays, stats
 from loomfeat.queries import QUERIES, STOP, VOCABULARY
 
 SMALL = "/root/testdata/sf0.001"
@@ -115,3 +115,26 @@ def test_fft_modes_against_numpy(spark, n):
         d, low, mid = p - p.mean(), int(bins * 0.2), int(bins * 0.6)
         third, fourth = (d**3).mean() / (p.std() ** 3 + 1e-10), (d**4).mean() / (p.std() ** 4 + 1e-10) - 3
         assert np.allclose(r["stats"], [p.mean(), sorted(p)[bins // 2], p.std(), third, fourth, sum(p[:low]), sum(p[low:mid]), sum(p[mid:])])
+
+
+def test_periodic_and_multimodal_columns(spark):
+    rng = np.random.default_rng(2)
+    n = 400
+    values = {"wave": np.sin(np.arange(n) * 2 * np.pi / 8) + 0.1 * rng.normal(size=n), "two": rng.choice([-6.0, 6.0], n) + rng.normal(size=n), "one": rng.permutation(np.linspace(-1, 1, n) ** 3 * 5)}
+    rows = [(i, *(float(x[i]) for x in values.values())) for i in range(n)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(n)], "t int, wave double, two double, one double")
+    row = advisor.profile(df, list(values), ["t"])
+    for parts in (1, 4, 90):  # partitions shorter than the lags too
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        acf = stats.autocorrelations(df, {c: row[c]["mean"] for c in values}, ["t"])
+        for c, x in values.items():
+            x = x - x.mean()
+            assert np.allclose(acf[c], [(x[k:] * x[:-k]).sum() / (x * x).sum() for k in range(1, 21)])
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    keys = ("zero_ratio", "unique_ratio", "skewness", "kurtosis", "negative", "bounded01", "periodic", "multimodal")
+    kind = lambda c: spark.range(1).select(advisor.detect_distribution({k: F.lit(row[c][k]) for k in keys}).alias("k")).first()["k"]
+    assert (kind("wave"), kind("two")) == ("periodic", "multimodal")
+    assert advisor.advise_numeric(row["two"])["distribution"] == "multimodal" and not row["one"]["periodic"]
+    assert stats.periodic([0.9, 0.5, 0.1]) and not stats.periodic([0.1, 0.15, 0.1]) and not stats.periodic([0.9])
