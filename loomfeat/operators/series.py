@@ -4,6 +4,7 @@ operators of a call, which plan as one exchange and one sort.  The order must be
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -141,6 +142,40 @@ def features(df: DataFrame, value: str, group: Sequence[str], order: Sequence[st
     return rows.groupBy(*group).agg(*[F.coalesce(c, F.lit(0.0)).alias(k) if k in ("peaks", "valleys") else c.alias(k) for k, c in many.items()])
 
 
+def sliding(df: DataFrame, group: Sequence[str], order: Sequence[str], size: int, stride: int = 1, out: str = "window") -> DataFrame:
+    """Each row once for each full window of ``size`` rows that holds it; ``out`` is the window's first row, a multiple of ``stride``.
+
+    Grouped by it as well, every operator of this module works on windows.
+    """
+    w = window(group, order)
+    df = df.withColumn("__t", F.row_number().over(w) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+    t = F.col("__t")
+    first = F.greatest(F.ceil((t - (size - 1)) / stride), F.lit(0)).cast("long")
+    last = F.least(F.floor(t / stride), F.floor((F.col("__n") - size) / stride)).cast("long")
+    return df.filter((F.col("__n") >= size) & (first <= last)).withColumn(out, F.explode(F.sequence(first, last))).withColumn(out, F.col(out) * stride).drop("__t", "__n")
+
+
+def frequency_features(df: DataFrame, value: str, group: Sequence[str], order: Sequence[str], coefficients: int = 5, lag: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """One row a group: fft_coef, the first absolute Fourier coefficients of the centred series over their sum, and autocorrelation_lag_k, the sum of c[t] c[t + k] over that of c^2.
+
+    0 beyond the length of the series, for one value and for a constant series; NULL counts as the mean.
+    """
+    w, whole, x = window(group, order), Window.partitionBy(*group), F.col(value).cast("double")
+    rows = df.select(*group, (F.row_number().over(w) - 1).alias("t"), F.count(F.lit(1)).over(whole).alias("n"), F.coalesce(F.when(F.min(x).over(whole) < F.max(x).over(whole), x - F.avg(x).over(whole)), F.lit(0.0)).alias("c"), *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)])
+    w = window(group, [f"__o{i}" for i in range(len(order))])
+    c, n = F.col("c"), F.col("n")
+    rows = rows.select(*group, "t", "n", "c", *[F.lag(c, k).over(w).alias(f"l{k}") for k in lag])
+    # the zeroth is the sum of a centred series, the phase is reduced before it is a float
+    angle = lambda k: (F.col("t") * k % n) * (2 * math.pi) / n
+    wave = lambda k: F.when(F.max("n") > k, F.sqrt(F.pow(F.sum(c * F.cos(angle(k))), 2) + F.pow(F.sum(c * F.sin(angle(k))), 2))).otherwise(0.0)
+    parts = [F.lit(0.0).alias("a0")] + [wave(k).alias(f"a{k}") for k in range(1, coefficients)]
+    acf = {k: F.coalesce(F.when(F.sum(c * c) > 0, F.sum(c * F.col(f"l{k}")) / F.sum(c * c)), F.lit(0.0)).alias(f"autocorrelation_lag_{k}") for k in lag}
+    each = rows.groupBy(*group).agg(*parts, *acf.values())
+    total = sum((F.col(f"a{k}") for k in range(coefficients)), F.lit(0.0))
+    coef = F.array(*[F.when(total > 0, F.col(f"a{k}") / total).otherwise(0.0) for k in range(coefficients)])
+    return each.select(*group, coef.alias("fft_coef"), *[f"autocorrelation_lag_{k}" for k in lag])
+
+
 def chain(df: DataFrame, value: str, group: Sequence[str], order: Sequence[str], lag: Sequence[int] = (), rolling_size: int = 0, difference_order: int = 0, averages: Sequence[int] = (), drop_na: bool = False) -> DataFrame:
     """All series features of one column from the original values, over one window; ``drop_na`` trims once for all."""
     w, x = window(group, order), F.col(value).cast("double")

@@ -370,6 +370,22 @@ def series_features(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in out.columns if c != "user_id"])
 
 
+@query()
+def series_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """Fourier coefficients and autocorrelations of each whole series."""
+    out = series.frequency_features(table(spark, d, "events"), "value", *SERIES)
+    return out.select("user_id", ra(F.col("fft_coef")).alias("fft_coef"), *[r(F.col(c)).alias(c) for c in out.columns if c.startswith("autocorrelation")])
+
+
+@query()
+def series_window_features(spark: SparkSession, d: str) -> DataFrame:
+    """All features of windows of 20 rows, each tenth of them."""
+    (group, order), df = SERIES, table(spark, d, "events")
+    windows = series.sliding(df, group, order, 20, 10)
+    keys = [*group, "window"]
+    return series.features(windows, "value", keys, order).join(series.frequency_features(windows, "value", keys, order), keys)
+
+
 @query(f"""with a as (select vec_id, embedding::double[] e from embeddings), b as (select vec_id, e, list_transform(range(1, 64), lambda i: (e[i] + e[i + 1]) / 2) s from a), c as (select *, list_transform(range(1, 61), lambda i: (s[i] + s[i + 1] + s[i + 2] + s[i + 3]) / 4) u from b),
 m as (select *, list_avg(e) mu from c) select vec_id, list_transform(list_transform(range(1, 64), lambda i: e[i + 1] - s[i]) || list_transform(range(1, 61), lambda i: s[i + 3] - u[i]) || u, lambda x: {rs('x / 64')}) as wavelet, {rs('list_sum(list_transform(range(1, 63), lambda i: (e[i] - mu) * (e[i + 2] - mu))) / list_sum(list_transform(e, lambda x: (x - mu) * (x - mu)))')} as acf_2 from m""")
 def array_wavelet(spark: SparkSession, d: str) -> DataFrame:

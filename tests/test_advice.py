@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomfeat.functions import text
 from loomfeat.llm import pii, toxicity
-from loomfeat.operators import advisor, arrays, stats
+from loomfeat.operators import advisor, arrays, series, stats
 from loomfeat.queries import QUERIES, STOP, VOCABULARY
 
 SMALL = "/root/testdata/sf0.001"
@@ -138,3 +138,29 @@ def test_periodic_and_multimodal_columns(spark):
     assert (kind("wave"), kind("two")) == ("periodic", "multimodal")
     assert advisor.advise_numeric(row["two"])["distribution"] == "multimodal" and not row["one"]["periodic"]
     assert stats.periodic([0.9, 0.5, 0.1]) and not stats.periodic([0.1, 0.15, 0.1]) and not stats.periodic([0.9])
+
+
+def _frequencies(x, k=5):
+    c = x - x.mean()
+    a = np.abs(np.fft.fft(c))[:k] if np.ptp(x) > 0 else np.zeros(0)
+    a = np.r_[a, np.zeros(k - len(a))]
+    square = (c * c).sum() if np.ptp(x) > 0 else 0.0
+    return a / a.sum() if a.sum() else a, [(c[j:] * c[:-j]).sum() / square if square and len(c) > j else 0.0 for j in (1, 2, 3)]
+
+
+def test_series_frequencies_and_windows(spark):
+    rng = np.random.default_rng(6)
+    data = {"a": rng.normal(size=23), "b": rng.normal(size=4), "c": np.full(6, 0.1), "d": np.array([3.0]), "e": rng.normal(size=2)}
+    df = spark.createDataFrame([(g, i, float(v)) for g, x in data.items() for i, v in enumerate(x)], "g string, t int, x double").repartition(3)
+    want = {(g, None): x for g, x in data.items()}
+    got = {(r["g"], None): r for r in series.frequency_features(df, "x", ["g"], ["t"]).collect()}
+    windows = series.sliding(df, ["g"], ["t"], 4, 3)
+    want |= {(g, s): x[s : s + 4] for g, x in data.items() for s in range(0, len(x) - 3, 3)}
+    got |= {(r["g"], r["window"]): r for r in series.frequency_features(windows, "x", ["g", "window"], ["t"]).collect()}
+    assert got.keys() == want.keys()
+    for k, x in want.items():
+        coef, acf = _frequencies(x)
+        assert np.allclose(got[k]["fft_coef"], coef, atol=1e-9) and np.allclose([got[k][f"autocorrelation_lag_{j}"] for j in (1, 2, 3)], acf)
+    for r in series.features(windows, "x", ["g", "window"], ["t"]).collect():
+        x = want[r["g"], r["window"]]
+        assert np.allclose([r["mean"], r["std"], r["max"]], [x.mean(), x.std(), x.max()])
