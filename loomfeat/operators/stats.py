@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfeat.sources.scratch import free, written
+
 
 def numeric(columns: Sequence[str]) -> list[Column]:
     """mean, var (0 for one value), count, min, max, skewness, kurtosis (3 for a normal one), zero and unique ratio, flags."""
@@ -127,14 +129,44 @@ def periodic(acf: Sequence[float], threshold: float = 0.2) -> bool:
     return len(acf) >= 3 and any(a[i] > max(a[i - 1], a[i + 1], threshold) for i in range(1, len(a) - 1))
 
 
+def ranked(df: DataFrame, by: Sequence[str], out: str = "rank") -> DataFrame:
+    """Adds the rank from 1 on by the columns ``by``, nulls last; exact over all rows, and total if ``by`` is unique.
+
+    Rows are range-partitioned by all of ``by``, so that a hot value of the first column is split by the others, sorted
+    within the partitions and numbered there; they are written once, since the same rows must be counted and numbered,
+    and each partition is shifted by the sizes of those before it, one row a partition.
+    """
+    place, size = free("__place", df), F.lit(1 << 33)
+    order = [F.col(f"`{c}`").asc_nulls_last() for c in by]
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id()))
+    parts = rows.groupBy(F.floor(F.col(place) / size).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+    starts, before = [], 0
+    for x in parts:
+        starts.append((x["p"], before))
+        before += x["n"]
+    shift = df.sparkSession.createDataFrame(starts, f"{place}p long, {place}b long")
+    joined = rows.join(F.broadcast(shift), F.floor(F.col(place) / size) == F.col(f"{place}p"))
+    return joined.withColumn(out, F.col(f"{place}b") + F.col(place) % size + 1).drop(place, f"{place}p", f"{place}b")
+
+
 def rank_to_uniform(df: DataFrame, value: str, tie: str, out: str = "quantile") -> DataFrame:
-    """Adds 2 (r + 0.5) / n - 1 for the rank r by (value, tie).
+    """Adds 2 (r - 0.5) / n - 1 for the rank r by (value, tie) among the n rows with a value; NULL without one."""
+    known = F.col(f"`{value}`").isNotNull()
+    n = df.filter(known).count()
+    rank = free("__rank", df)
+    return ranked(df, [value, tie], rank).withColumn(out, F.when(known, 2 * (F.col(rank) - 0.5) / n - 1)).drop(rank)
+
+
+def dense(df: DataFrame, value: str, out: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Adds the place of the value among the distinct ones, spread evenly over [0, 1]; NULL has none.
 
-    The ranks are global without a global window: rows are range-partitioned by (value, tie), ranked within each
-    partition, and shifted by the sizes of the partitions before, which is one small aggregate.
+    The ranks of the distinct values are joined, broadcast up to ``broadcast_rows`` of them.
     """
-    df = df.repartitionByRange(F.col(value), F.col(tie)).withColumn("__p", F.spark_partition_id())
-    local = df.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(value, tie)))
-    sizes = df.groupBy("__p").agg(F.count("*").alias("__c"))
-    before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
-    return local.join(F.broadcast(before), "__p").withColumn(out, 2 * (F.col("__b") + F.col("__r") - 0.5) / F.col("__n") - 1).drop("__p", "__r", "__b", "__n")
+    key, rank = free("__value", df), free("__rank", df)
+    x = F.col(f"`{value}`")
+    distinct = df.filter(x.isNotNull()).select(x.alias(key)).distinct()
+    places = ranked(distinct, [key], rank)
+    n = places.count()
+    places = places.withColumn(rank, (F.col(rank) - 1) / max(n - 1, 1))
+    joined = df.join(F.broadcast(places) if n <= broadcast_rows else places.hint("merge"), x == F.col(key), "left")
+    return joined.withColumn(out, F.col(rank)).drop(key, rank)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfeat.functions import categorical, dates, numeric, text
@@ -189,16 +189,12 @@ def quantile_transform(spark: SparkSession, d: str) -> DataFrame:
     return stats.rank_to_uniform(table(spark, d, "customer"), "c_acctbal", "c_custkey").select("c_custkey", r(F.col("quantile")).alias("quantile"))
 
 
-@query(f"select l_orderkey, l_linenumber, {rs('l_discount')} as z, {rs('sin(l_discount * 3.14159)')} as s, {rs('cos(l_discount * 3.14159)')} as c, {rs('(dense_rank() over (order by l_quantity) - 1) / greatest((select count(distinct l_quantity) from lineitem) - 1, 1)')} as discrete from lineitem")
+@query(f"select l_orderkey, l_linenumber, {rs('l_discount')} as z, {rs('sin(l_discount * 3.14159)')} as s, {rs('cos(l_discount * 3.14159)')} as c, {rs('case when l_quantity is not null then (dense_rank() over (order by l_quantity nulls last) - 1) / greatest((select count(distinct l_quantity) from lineitem) - 1, 1) end')} as discrete from lineitem")
 def distribution_aware(spark: SparkSession, d: str) -> DataFrame:
     """Periodic waves, and discrete values spread over [0, 1] by a join with their ranks."""
-    df = table(spark, d, "lineitem")
-    values = df.select("l_quantity").distinct()
-    n = values.count()
-    ranks = values.select("l_quantity", ((F.row_number().over(Window.orderBy("l_quantity")) - 1) / max(n - 1, 1)).alias("discrete"))
-    joined = df.join(F.broadcast(ranks) if n <= categorical.BROADCAST_ROWS else ranks, "l_quantity")
+    df = stats.dense(table(spark, d, "lineitem"), "l_quantity", "discrete")
     p = numeric.periodic(numeric.sparse_snap(F.col("l_discount")))
-    return joined.select(*LK.split(", "), r(p[0]).alias("z"), r(p[1]).alias("s"), r(p[2]).alias("c"), r(F.col("discrete")).alias("discrete"))
+    return df.select(*LK.split(", "), r(p[0]).alias("z"), r(p[1]).alias("s"), r(p[2]).alias("c"), r(F.col("discrete")).alias("discrete"))
 
 
 @query()
@@ -221,15 +217,13 @@ def lookup_one_hot_embedding(spark: SparkSession, d: str) -> DataFrame:
     return df.select("event_id", i.alias("index"), numeric.one_hot(i, len(v) + 1).alias("one_hot"), categorical.embed(i, weights).alias("embedded"))
 
 
-@query("with v as (select c_name, row_number() over (order by c_name) i from (select distinct c_name from customer)) select c_custkey, i::bigint as index from customer join v using (c_name)")
+@query("with v as (select c_name, row_number() over (order by c_name) i from (select distinct c_name from customer where c_name is not null)) select c_custkey, coalesce(i, 0)::bigint as index from customer left join v using (c_name)")
 def lookup_large(spark: SparkSession, d: str) -> DataFrame:
     """A vocabulary beyond a literal: ranked without a global window, then joined."""
     df = table(spark, d, "customer")
-    names = df.select(F.col("c_name").alias("value")).distinct()
-    ranked = stats.rank_to_uniform(names.withColumn("tie", F.lit(0)), "value", "tie", "q")
-    n = names.count()
-    index = ranked.select("value", F.round(((F.col("q") + 1) * n + 1) / 2).cast("long").alias("index"))
-    return categorical.lookup_join(df, "c_name", index, "index", n).select("c_custkey", "index")
+    names = df.filter("c_name is not null").select(F.col("c_name").alias("value")).distinct()
+    index = stats.ranked(names, ["value"], "index")
+    return categorical.lookup_join(df, "c_name", index, "index", names.count()).select("c_custkey", "index")
 
 
 def _hash(x: str, n: int, salt: str = "") -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomfeat.functions import dates, numeric
@@ -121,3 +122,28 @@ def test_advice():
     assert advisor.advise_numeric({"var": 0.0})["distribution"] == "constant"
     assert "Feature('a'" in advisor.snippet({"a": {"feature_type": "FLOAT"}})
     assert inference.required_history(lags=[1, 7], levels=4) == 16
+
+
+def test_global_ranks_keep_every_row(spark):
+    """With payload columns and many partitions, against the window over everything that the operator avoids."""
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    x = F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 101 == 0, None).otherwise(F.rand(1))
+    df = spark.range(40_000).select("id", x.alias("x"), *[F.md5(F.col("id").cast("string")).alias(f"p{i}") for i in range(4)], F.lit("clash").alias("__place"))
+    for coalesce in (True, False):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        got = stats.rank_to_uniform(df, "x", "id", "q")
+        assert got.columns == [*df.columns, "q"]
+        n = df.filter("x is not null").count()
+        want = df.select("id", F.when(F.col("x").isNotNull(), 2 * (F.row_number().over(Window.orderBy(F.col("x").asc_nulls_last(), "id")) - 0.5) / n - 1).alias("w"))
+        both = got.join(want, "id", "full")
+        assert both.count() == got.count() == 40_000 and both.filter("not (q <=> w)").count() == 0
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert stats.ranked(df.limit(0), ["x", "id"]).count() == 0
+
+
+def test_dense_places_keep_rows_without_a_value(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, None), (3, 1.0), (4, 5.0), (5, 2.0)], "t int, x double")
+    for most in (0, 10):
+        got = stats.dense(df, "x", "place", most)
+        assert {r["t"]: r["place"] for r in got.collect()} == {1: 1.0, 2: None, 3: 0.0, 4: 1.0, 5: 0.5}
