@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_BYTES, ARROW_ROWS = "8m", "2000"  # of an Arrow batch: what a Python worker and its JVM hold at once; UDFs heed only the rows
+from loomfeat.sources.scratch import free, scratch
+from loomfeat.sources.scratch import written as _written
 
-_made: list[tuple[SparkSession, str]] = []
+__all__ = ["free", "modest", "read", "scratch", "within", "written"]
 
+ARROW_BYTES, ARROW_ROWS = "8m", "2000"  # of an Arrow batch: what a Python worker and its JVM hold at once; UDFs heed only the rows
 
 def modest(spark: SparkSession) -> SparkSession:
     """The session, with Arrow batches of ARROW_BYTES and ARROW_ROWS unless the cluster sets its own; a longer row is a batch of its own."""
@@ -23,41 +21,10 @@ def modest(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir.
-
-    Only where that is unset, as in tests, a folder of this machine is set instead.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="loomfeat-")
-        spark.sparkContext.setCheckpointDir(base)
-        _made.append((spark, base))
-    path = f"{base.rstrip('/')}/loomfeat-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def clean() -> None:
-    """Delete every folder that scratch() named; called when the driver ends, or earlier if the results are used up."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session is gone, and the cluster's own cleaning remains
-            pass
-
-
-atexit.register(clean)
-
-
 def written(df: DataFrame) -> DataFrame:
     """The same rows, read from a table in the shared folder: lineage ends there and losing an executor loses nothing."""
-    path = scratch(modest(df.sparkSession))
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    modest(df.sparkSession)
+    return _written(df)
 
 
 def within(df: DataFrame, keys: DataFrame, on: str, broadcast_rows: int = 2_000_000) -> DataFrame:
