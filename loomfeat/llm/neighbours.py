@@ -1,22 +1,26 @@
 """Approximate nearest neighbours by an inverted multi-index (Babenko and Lempitsky 2012).
 
-The two halves of the vectors are quantised separately, by K centroids each that Lloyd's steps over all vectors fit, so
-that K * K cells partition the space.  A query takes the centroid pairs in the order of their summed distance from a
-heap.  First it visits cells until they hold FIRST entries, whose rerank gives the distance of its k-th best so far;
+The two halves of the vectors are quantised separately, by K centroids each that Lloyd's steps fit on a sample of SAMPLE_ROWS
+vectors, so that K * K cells partition the space; every vector is indexed.  K grows with the root of the table, to
+MOST_CENTROIDS, where the table of cells has 32 MB.  A query takes the centroid pairs in the order of their summed distance
+from a heap.  First it visits cells until they hold FIRST entries, whose rerank gives the distance of its k-th best so far;
 then it goes on until the cells left are expected to hold less than MISS * k nearer entries.  An entry at the residual r
 of a cell at the distance D has the squared distance D^2 + r^2 - 2 <q - c, y - c>, where the last term is about normal
 with the variance 4 D^2 r^2 / d for unrelated directions, which WIDEN enlarges; so the entries of a cell that are
 nearer than the k-th best can be foretold.  Easy queries visit few cells, hard ones as many as their recall needs; there
 is no cap.
 
-Visits are grouped by blocks: the entries of one first-half centroid, at most about BLOCK of them, which split further
-by a hash beyond.  Each pair of a query block and an entry block that occurs is one task's matrix products, so that no
-group grows with the table.
+Queries are the vectors whose vec_id is divisible by ``every``, against all vectors.  Visits are grouped by blocks: the
+entries of one first-half centroid, at most about BLOCK of them, which split further by a hash beyond, and about QUERIES
+queries of neighbouring centroids.  Each pair of a query block and an entry block that occurs is one task's matrix products,
+so that no group grows with the table.
 
-Defined results: every distinct vec_id with a finite vector of the table's dimension (the most frequent, the least if
-tied) is a query and gets min(k, others) neighbours by (distance, neighbour_id) with ranks from 1; null, empty, not finite
+Defined results: every distinct vec_id divisible by ``every`` with a finite vector of the table's dimension (the most
+frequent, the least if tied) is a query and gets min(k, others) neighbours by (distance, neighbour_id) with ranks from 1,
+so that of equal distances at the last place the least ids count; null, empty, not finite
 or differently long vectors and null ids have no rows and are no one's neighbours; of rows that repeat a vec_id the one
-with the least vector counts; equal vectors under different ids are neighbours at distance 0.  Extra columns are ignored.
+with the least vector counts; equal vectors under different ids are neighbours at distance 0; an empty table has no rows.
+Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ from pyspark.sql import functions as F
 
 from loomfeat.llm.shared import read, written
 
-NEIGHBOURS, FIRST, MISS, WIDEN, STEPS = 10, 1000, 0.1, 1.0, 6
-PER_CELL, MOST_CENTROIDS, BLOCK = 200, 256, 16384
+NEIGHBOURS, EVERY, FIRST, MISS, WIDEN, STEPS = 10, 100, 1000, 0.5, 1.0, 8
+PER_CELL, MOST_CENTROIDS, BLOCK, QUERIES, SAMPLE_ROWS = 200, 2048, 16384, 2048, 50_000
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -43,36 +47,21 @@ def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T, 0)
 
 
-def _partial(books: tuple[np.ndarray, np.ndarray], dim: int):
-    """Of each batch: sums and sizes of the vectors nearest to each centroid of either half."""
-    half = books[0].shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(batch.column(0), dim)
-            rows = []
-            for h, (part, book) in enumerate(((x[:, :half], books[0]), (x[:, half:], books[1]))):
-                near = _squared(part, book).argmin(1)
-                for c in np.unique(near):
-                    rows.append((h, int(c), int((near == c).sum()), part[near == c].sum(0).tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["half", "c", "n", "sums"])
-
-    return run
+def codebooks(vectors: DataFrame, dim: int, size: int, steps: int = STEPS, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of either half: ``steps`` of Lloyd over the ``sample_rows`` vectors of least hash, from the first ``size`` of them."""
+    table = vectors.select("vec", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(max(size, sample_rows)).select("vec").toArrow()
+    x = _matrix(table["vec"].combine_chunks(), dim)
+    return lloyd(x[:, : dim // 2], size, steps), lloyd(x[:, dim // 2 :], size, steps)
 
 
-def codebooks(vectors: DataFrame, dim: int, size: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of either half: ``steps`` of Lloyd over all vectors, from the ``size`` of least hash; rounded, so that the order of sums is no matter."""
-    half = dim // 2
-    first = np.array([r[0] for r in vectors.select("vec", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(size).select("vec").collect()], np.float64).reshape(-1, dim)
-    books = [first[:, :half].copy(), first[:, half:].copy()]
+def lloyd(x: np.ndarray, size: int, steps: int) -> np.ndarray:
+    book = x[:size].copy()
     for _ in range(steps):
-        part = vectors.select("vec").mapInArrow(_partial((books[0], books[1]), dim), "half int, c int, n long, sums array<double>")
-        each = part.select("half", "c", "n", F.posexplode("sums").alias("at", "x")).groupBy("half", "c", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-        for r in each:
-            books[r["half"]][r["c"], r["at"]] = round(r["x"] / r["n"], 6)
-    return books[0], books[1]
+        near = np.concatenate([_squared(x[a : a + 4096], book).argmin(1) for a in range(0, len(x), 4096)])
+        order = np.argsort(near, kind="stable")
+        own, first = np.unique(near[order], return_index=True)
+        book[own] = np.add.reduceat(x[order], first, axis=0) / np.diff(np.r_[first, len(x)])[:, None] if len(x) else book
+    return book
 
 
 def _assign(books: tuple[np.ndarray, np.ndarray], dim: int):
@@ -112,7 +101,6 @@ def _below(z: np.ndarray) -> np.ndarray:
 def _visits(books: tuple[np.ndarray, np.ndarray], count: np.ndarray, rest: np.ndarray, dim: int, k: int, first: int, miss: float, widen: float, again: bool):
     """Rows (query, centroid of the first half, centroids of the second) to visit; ``again``: those after the first turn."""
     half = books[0].shape[1]
-    counts = count.tolist()
     most = miss * k
     little = most / (4 * count.size)
 
@@ -123,15 +111,15 @@ def _visits(books: tuple[np.ndarray, np.ndarray], count: np.ndarray, rest: np.nd
             d = a[:, None] + b[None, :]
             nearer = count * (_below((d + rest - tau) / (np.sqrt(4 * widen / dim * d * rest) + 1e-12)) if np.isfinite(tau) else 1.0)
             left = float(nearer.sum())
-            nearer = nearer.tolist()
         for _, i, j in traverse(a, b):
             early = seen < first
             if not early and (not again or left <= most):
                 break
-            seen += counts[i][j]
+            own = int(count[i, j])
+            seen += own
             if again:
-                left -= nearer[i][j]
-            if counts[i][j] and (not again if early else nearer[i][j] > little):
+                left -= nearer[i, j]
+            if own and (not again if early else nearer[i, j] > little):
                 out.setdefault(i, []).append(j)
         return out
 
@@ -196,8 +184,8 @@ def _search(dim: int, k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, first: int = FIRST, miss: float = MISS, widen: float = WIDEN, block: int = BLOCK, per_cell: int = PER_CELL) -> DataFrame:
-    """(vec_id, neighbour_id, rank, distance): the k approximate nearest neighbours of every vector, by Euclidean distance."""
+def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, first: int = FIRST, miss: float = MISS, widen: float = WIDEN, block: int = BLOCK, per_cell: int = PER_CELL) -> DataFrame:
+    """(vec_id, neighbour_id, rank, distance): the k approximate nearest neighbours, among all vectors, of those whose id is divisible by ``every``, by Euclidean distance."""
     spark = vectors.sparkSession
     out = "vec_id long, neighbour_id long, rank int, distance double"
     raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
@@ -211,13 +199,21 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, first: int = FIRST, miss
     size = max(1, min(MOST_CENTROIDS, round((clean.count() / per_cell) ** 0.5)))
     books = codebooks(clean, dim, size)
     placed = written(clean.mapInArrow(_assign(books, dim), "vec_id long, vec array<double>, i int, j int, rest double"))
-    count, rest = np.zeros((size, size), np.int64), np.zeros((size, size))
-    for r in placed.groupBy("i", "j").agg(F.count("*").alias("n"), F.avg("rest").alias("rest")).collect():
-        count[r["i"], r["j"]], rest[r["i"], r["j"]] = r["n"], r["rest"]
+    count, rest = np.zeros((size, size), np.int32), np.zeros((size, size), np.float32)
+    cells = placed.groupBy("i", "j").agg(F.count("*").alias("n"), F.avg("rest").alias("rest")).toArrow()  # at most MOST_CENTROIDS^2 rows
+    at = cells["i"].to_numpy(), cells["j"].to_numpy()
+    count[at], rest[at] = cells["n"].to_numpy(), cells["rest"].to_numpy()
     parts = [max(1, -(-int(n) // block)) for n in count.sum(1)]
     split = F.element_at(F.array(*map(F.lit, parts)), F.col("i") + 1)
     placed = placed.withColumn("s", F.pmod(F.xxhash64("vec_id"), split).cast("int"))
-    queries = placed.select("vec_id", "vec", F.col("i").alias("qi"), F.col("s").alias("qs"))
+    asking = placed.filter(F.col("vec_id") % every == 0)
+    groups = max(1, -(-asking.count() // QUERIES))
+    # centroids that are near each other have near places along the axis of their greatest spread
+    spread = books[0] - books[0].mean(0)
+    place = np.argsort(np.argsort(spread @ np.linalg.svd(spread, full_matrices=False)[2][0])).tolist() if dim > 1 else [0]
+    per, beside = max(1, groups // size), min(groups, size)
+    near = F.element_at(F.array(*[F.lit(p * beside // size) for p in place]), F.col("i") + 1)
+    queries = asking.select("vec_id", "vec", near.alias("qi"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(per)).cast("int").alias("qs"))
 
     def turn(asked: DataFrame, again: bool) -> DataFrame:
         visits = asked.mapInArrow(_visits(books, count, rest, dim, k, first, miss, widen, again), "vec_id long, vec array<double>, qi int, qs int, i int, js array<int>")

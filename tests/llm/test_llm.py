@@ -38,7 +38,7 @@ def test_document_operators_take_odd_rows(spark, rows):
     assert quality.scored(d, lab).count() == len(rows)
     assert toxicity.toxicity(d, lab).count() == len(rows)
     assert tokencount.token_counts(d).count() == len(rows)
-    assert decontaminate.matches(d, bench, min_bytes=10).count() == (2 if rows else 0)
+    assert decontaminate.matches(d, bench).count() == (2 if rows else 0)
     assert decontaminate.without_benchmark(d, bench).columns == d.columns
     assert pii.redact(d).columns == d.columns
     assert pii.redact(d).count() == len(rows)
@@ -63,7 +63,7 @@ def test_neighbours_recall(spark):
     v = np.concatenate([centres[rng.integers(0, 20, 900)] + 0.2 * rng.normal(size=(900, 16)), rng.normal(size=(300, 16))])
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
     got = {}
-    for r in neighbours.neighbours(df, first=60, per_cell=20, block=200).collect():
+    for r in neighbours.neighbours(df, every=1, first=60, per_cell=20, block=200).collect():
         got.setdefault(r["vec_id"], []).append(r["neighbour_id"])
     v = v.astype(np.float32).astype(float)
     hits = 0
@@ -77,9 +77,14 @@ def test_neighbours_recall(spark):
 def test_neighbours_of_odd_vectors(spark):
     rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [float("nan"), 1.0]), (7, [1.0, 2.0, 3.0]), (None, [0.0, 1.0]), (8, [None, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x"))
-    got = {(r["vec_id"], r["rank"]): (r["neighbour_id"], r["distance"]) for r in neighbours.neighbours(df).collect()}
+    got = {(r["vec_id"], r["rank"]): (r["neighbour_id"], r["distance"]) for r in neighbours.neighbours(df, every=1).collect()}
     assert got == {(1, 1): (2, 0.0), (1, 2): (3, 1.0), (2, 1): (1, 0.0), (2, 2): (3, 1.0), (3, 1): (1, 1.0), (3, 2): (2, 1.0)}
     assert neighbours.neighbours(df.filter("false")).count() == 0
+    assert neighbours.neighbours(df).count() == 0  # no id is divisible by 100
+    # of equal distances at the last place the least ids count
+    ring = spark.createDataFrame([(100 * i, [float(i % 2), float(i // 2 % 2), 0.0, 0.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    got = [r["neighbour_id"] for r in neighbours.neighbours(ring, k=3).filter("vec_id = 400").orderBy("rank").collect()]
+    assert got == [0, 800, 1200]
 
 
 def test_traversal_is_the_sorted_order_of_all_pairs():
