@@ -2,23 +2,30 @@
 
 A preference pair is a document labelled good and one labelled bad; the probability that the first is
 preferred is the logistic function of the difference of their scores, which are linear in the features.
-Training minimises the logistic loss of the feature differences of such pairs.  A document stays if its
-score is at least a quantile of the scores of all documents labelled good.
+Training minimises the logistic loss of the feature differences of such pairs, drawn from a sample of at most SAMPLE_ROWS
+documents a class.  Every document is scored once.  A document stays if its score is at least the quantile
+GOOD_QUANTILE of the scores of all documents labelled good: this bounds the share of good documents that are lost
+whatever the share of bad ones in the corpus, where a quantile of all scores would reject as many of a clean corpus.
 
-Defined results: null and empty texts have no word and get the lowest score (minus infinity is avoided: LOWEST),
+Defined results: null and empty texts have no word and get the lowest score (LOWEST, minus infinity is avoided),
 so they are rejected; equal feature vectors get equal scores; every row is scored for itself, so repeated rows
-and null doc_ids stay apart; without labels of both classes every document with a word is kept with score 0.
+and null doc_ids stay apart; a document with several labels counts as bad if one of them says so, null labels say nothing;
+without labels of both classes every document with a word is kept with score 0; an empty table has no rows.  Extra columns,
+whatever their names, change nothing and are kept by keep_good.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfeat.llm import text as T
-from loomfeat.llm.shared import read, written
+from loomfeat.llm.shared import free, read, written
+from loomfeat.operators.stats import ranked
 
 SAMPLE_ROWS = 4000  # most labelled documents of each class that training uses
 PAIRS = 40_000
@@ -113,35 +120,63 @@ def score_of(text: Column, mean: np.ndarray, weights: np.ndarray) -> Column:
     return run(text)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, good_quantile: float = GOOD_QUANTILE) -> tuple[np.ndarray, np.ndarray, float]:
-    """(mean, weights, threshold); the threshold is a quantile over all labelled documents, exact."""
-    quality = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    known = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _features_of(F.col("text")).alias("x")).join(quality, "doc_id").filter("x[0] > 0"))
-    seen = {}
-    for q in (0, 1):
-        rows = known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample_rows).select("x").toArrow()
-        seen[q] = np.array(rows["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES))
-    if not len(seen[0]) or not len(seen[1]):
-        return np.zeros(len(FEATURES)), np.zeros(len(FEATURES)), 0.0
-    mean, weights = fit(seen[1], seen[0])
-    score = sum(((F.col("x")[i] - float(mean[i])) * float(weights[i]) for i in range(len(FEATURES))), F.lit(0.0))
-    threshold = known.filter("quality = 1").agg(F.percentile(score, F.lit(good_quantile))).first()[0]
-    return mean, weights, float(threshold)
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality), one row a labelled document."""
+    return labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
+    """(mean, weights) from the labelled documents of least hash, ``sample_rows`` a class at most; None without both classes."""
+    quality = known_labels(labels)
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    present = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null and text <> ''")
+    # ids of labelled documents that are there: their ids alone are joined, the texts only of the sample
+    there = written(_labelled(present.select("doc_id"), quality).distinct())
+    ids = there.filter("quality = 1").orderBy(*order).limit(sample_rows).union(there.filter("quality = 0").orderBy(*order).limit(sample_rows))
+    # an id that many rows repeat is one of the sample, with the least features
+    known = present.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", _features_of(F.col("text")).alias("x")).filter("x[0] > 0").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow()
+    x = np.array(known["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES))
+    good = known["quality"].to_numpy() == 1
+    if not good.any() or good.all():
+        return None
+    order = np.lexsort(x.T)  # rows come in any order
+    return fit(x[order][good[order]], x[order][~good[order]])
+
+
+def _labelled(rows: DataFrame, quality: DataFrame) -> DataFrame:
+    small = quality.count() <= 2_000_000
+    return rows.join(F.broadcast(quality) if small else quality.hint("merge"), "doc_id")
 
 
-def scored(docs: DataFrame, labels: DataFrame, **params: float) -> DataFrame:
+def threshold_of(scores: DataFrame, labels: DataFrame, good_quantile: float = GOOD_QUANTILE) -> float:
+    """The least score of (doc_id, score) that at least ``good_quantile`` of all documents labelled good do not exceed; exact, by ranks over all of them."""
+    good = _labelled(scores.filter(F.col("score") > LOWEST).select("doc_id", "score"), known_labels(labels).filter("quality = 1"))
+    ranks = ranked(good, ["score", "doc_id"], "rank")
+    return float(ranks.filter(F.col("rank") == max(1, math.ceil(good_quantile * ranks.count()))).first()["score"])
+
+
+def _scoring(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    fitted = train(docs, labels, sample_rows)
+    return (*fitted, True) if fitted else (np.zeros(len(FEATURES)), np.zeros(len(FEATURES)), False)
+
+
+def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, good_quantile: float = GOOD_QUANTILE) -> DataFrame:
     """(doc_id, score, kept) of every row."""
-    mean, weights, threshold = train(docs, labels, **params)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_of(F.col("text"), mean, weights).alias("score")).withColumn("kept", F.col("score") >= threshold)
+    mean, weights, fitted = _scoring(docs, labels, sample_rows)
+    scores = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_of(F.col("text"), mean, weights).alias("score")))
+    return scores.withColumn("kept", F.col("score") >= (threshold_of(scores, labels, good_quantile) if fitted else 0.0))
+
 
+def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, good_quantile: float = GOOD_QUANTILE) -> DataFrame:
+    """The rows that are kept, with all their columns; null and empty texts go, empty tables stay empty.
 
-def keep_good(docs: DataFrame, labels: DataFrame, **params: float) -> DataFrame:
-    """The rows that are kept, with all their columns."""
-    mean, weights, threshold = train(docs, labels, **params)
-    name = "_score"
-    while name in docs.columns:
-        name += "_"
-    return docs.withColumn(name, score_of(F.col("text"), mean, weights)).filter(F.col(name) >= threshold).drop(name)
+    The rows are written with their scores, which costs less than to score them again once the threshold is known.
+    """
+    mean, weights, fitted = _scoring(docs, labels, sample_rows)
+    name = free("_score", docs)
+    both = written(docs.withColumn(name, score_of(F.col("text"), mean, weights)))
+    threshold = threshold_of(both.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("score")), labels, good_quantile) if fitted else 0.0
+    return both.filter(F.col(name) >= threshold).drop(name)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
