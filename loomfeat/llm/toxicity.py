@@ -3,11 +3,14 @@
 A document is the set of its words, each hashed to one of 2^BITS terms.  Its score is b + sum w_i + sum over pairs <v_i, v_j>
 (Rendle 2010), where the sum over pairs is (|sum v|^2 - sum |v|^2) / 2.  The factors learn what additive weights
 miss: two terms that are harmless apart and toxic together.  Training fits logistic loss on a bounded sample of labelled
-documents and the terms that tell its classes apart; the threshold is the one that errs least over all labelled documents
-outside the training part.
-
-Defined results: null and empty texts have no terms and the score of the bias, which is negative; a repeated word counts
-once; repeated rows are scored alike, each for itself; null doc_ids are kept; without labels of both classes nothing is toxic.
+documents, over all terms that tell its classes apart, alone or in pairs: a term that says nothing by itself is chosen if
+the documents that hold it with another term have other labels than either term explains.  The threshold is the one that
+errs least over all labelled documents outside the training part.
+
+Defined results: null and empty texts have no terms, the score LOWEST and are never toxic; a repeated word counts
+once; repeated rows are scored alike, each for itself; null doc_ids are kept; a document with several labels is toxic if one
+of them says so; without labels of both classes nothing is toxic; an empty table has no rows.  Extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from loomfeat.llm.shared import read, written
 
 BITS = 24
 SAMPLE_ROWS = 6000  # most labelled documents of each class that training uses
-TERMS, FACTORS, MIN_DOCS, MIN_CHI = 2000, 4, 5, 30.0
+FACTORS, MIN_DOCS, MIN_CHI, MIN_Z = 4, 5, 30.0, 7.0  # what is beyond chance among many terms, and among their pairs
+LOWEST = -1e6
 EPOCHS, RATE, L2 = 150, 0.05, 5e-3
 
 
@@ -69,16 +73,49 @@ class Machine:
         return self.__dict__ | {"_known": None}
 
 
-def choose(row: np.ndarray, term: np.ndarray, y: np.ndarray, most: int = TERMS, min_docs: int = MIN_DOCS, min_chi: float = MIN_CHI) -> np.ndarray:
-    """The terms with the largest chi-squared statistic for the class, all of them beyond chance among many terms."""
+def choose(row: np.ndarray, term: np.ndarray, y: np.ndarray, min_docs: int = MIN_DOCS, min_chi: float = MIN_CHI, min_z: float = MIN_Z) -> np.ndarray:
+    """All terms whose chi-squared statistic for the class is beyond chance, and those of which a pair is."""
     known, index = np.unique(term, return_inverse=True)
     n, pos = np.bincount(index).astype(float), np.bincount(index, y[row])
     total, toxic = len(y), y.sum()
     expected = n * toxic / total
     chi = (pos - expected) ** 2 / (expected * (1 - toxic / total) * (1 - n / total) + 1e-9)
-    chi[(n < min_docs) | (chi < min_chi)] = 0
-    best = np.argsort(-chi, kind="stable")[:most]
-    return np.sort(known[best[chi[best] > 0]])
+    best = (n >= min_docs) & (chi >= min_chi)
+    # a pair of n documents has a z of sqrt(n) at most
+    often = np.flatnonzero(n >= min_z**2)
+    best[often[_paired(row, index, y, often, len(known), min_z)]] = True
+    return known[best]
+
+
+def _paired(row: np.ndarray, index: np.ndarray, y: np.ndarray, often: np.ndarray, terms: int, min_z: float, block: int = 1024) -> np.ndarray:
+    """Which of the terms ``often`` are in a pair whose documents have other labels than either of the two terms has, by ``min_z`` deviations."""
+    place = np.full(terms, -1, np.int64)
+    place[often] = np.arange(len(often))
+    keep = place[index] >= 0
+    row, column = row[keep], place[index[keep]]
+    rest = (y - y.mean()).astype(np.float32)
+    deviation = max(float(rest.std()), 1e-9)
+    mean = np.bincount(column, rest[row], len(often)) / np.maximum(np.bincount(column, minlength=len(often)), 1)
+
+    def part(a: int) -> np.ndarray:
+        at = (column >= a) & (column < a + block)
+        x = np.zeros((len(y), min(block, len(often) - a)), np.float32)
+        x[row[at], column[at] - a] = 1
+        return x
+
+    out = np.zeros(len(often), bool)
+    for a in range(0, len(often), block):
+        x = part(a)
+        for b in range(a, len(often), block):
+            z = part(b) if b > a else x
+            many, labels = x.T @ z, (x * rest[:, None]).T @ z
+            off = np.minimum(np.abs(labels - many * mean[a : a + block, None]), np.abs(labels - many * mean[None, b : b + block]))
+            hit = off > min_z * deviation * np.sqrt(np.maximum(many, 1))
+            if a == b:
+                np.fill_diagonal(hit, False)
+            out[a : a + block] |= hit.any(1)
+            out[b : b + block] |= hit.any(0)
+    return out
 
 
 def fit(row: np.ndarray, term: np.ndarray, y: np.ndarray, chosen: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = RATE, l2: float = L2, seed: int = 5) -> Machine:
@@ -146,7 +183,10 @@ def _all_terms(text: Column) -> Column:
 def score_of(text: Column, machine: Machine) -> Column:
     @F.arrow_udf("double")
     def run(column: pa.Array) -> pa.Array:
-        return pa.array(machine.scores(*machine.indexed(*terms(column)), len(column)))
+        row, term = terms(column)
+        some = np.zeros(len(column), bool)
+        some[row] = True
+        return pa.array(np.where(some, machine.scores(*machine.indexed(row, term), len(column)), LOWEST))
 
     return run(text)
 
@@ -163,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     ids = toxic.filter("y = 1").orderBy(*order).limit(sample_rows).union(toxic.filter("y = 0").orderBy(*order).limit(sample_rows))
     # at most 2 * sample_rows ids, so that a broadcast has a fixed size
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    rows = written(known.select("doc_id", "y", _all_terms(F.col("text")).alias("terms"))).orderBy("doc_id", "terms").toArrow()
+    # an id that many rows repeat is one of the sample, with the least terms
+    rows = written(known.select("doc_id", "y", _all_terms(F.col("text")).alias("terms")).groupBy("doc_id", "y").agg(F.min("terms").alias("terms"))).orderBy("doc_id").toArrow()
     y = rows["y"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return None
@@ -201,7 +242,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, **params: int) -> DataFrame:
     machine, used = fitted
     # scored once, for the threshold and for the result
     scores = written(ids.select("doc_id", score_of(F.col("text"), machine).alias("score")))
-    return scores.withColumn("toxic", F.col("score") >= threshold_of(scores, labels, used))
+    return scores.withColumn("toxic", (F.col("score") > LOWEST) & (F.col("score") >= threshold_of(scores, labels, used)))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
