@@ -8,11 +8,13 @@ its sentences over the N pages of the site, log n / log N for one on n of them.
 less importance than THRESHOLD are removed, and the text of the others is returned.
 
 Since the weights sum to one, 1 - importance is linear in the tree and 0 where m = 1: only nodes that pages share take
-part, level by level from the deepest, whatever the number of pages.
+part.  Each node's sum over its descendants is found by doubling: a node knows its ancestor 1, 2, 4, ... levels up and the
+product of the weights between, so that a tree of depth D takes log D joins of all nodes at once, and no driver loop by level.
 
 Defined results: a null or empty page has an empty text; pages of a null or malformed URL and of hosts with fewer than
 MIN_PAGES different pages are merged with none and lose nothing; equal pages of a host count once; rows that repeat a page
-are extracted each for itself; markup that is not closed ends with its parent, text outside any tag counts as a paragraph.
+are extracted each for itself; a null page_id stays null; markup that is not closed ends with its parent, text outside any
+tag counts as a paragraph; an empty table has no rows.  Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from loomfeat.llm.shared import read, written
 
-DAMPING, THRESHOLD, MIN_PAGES = 0.9, 0.65, 5
-LOCAL_NODES = 2_000_000  # nodes to remove that tasks hold themselves; beyond, they are joined with the pages by host
+DAMPING, THRESHOLD, MIN_PAGES = 0.9, 0.65, 2
+LOCAL_NODES = 2_000_000  # nodes to remove that tasks hold themselves; beyond, they are joined with the nodes of the pages
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _CLASS = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -184,16 +186,16 @@ def importance(pages: DataFrame, damping: float = DAMPING, min_pages: int = MIN_
     styles = own.filter("children > 0").select("key", F.col("style").alias("above"), n.alias("c"), "children").join(elements.select("key", "m", "damp"), "key")
     up = styles.select("above", F.col("key").alias("parent"), (F.col("damp") * F.col("c") / F.col("m") / F.col("children")).alias("share"))
     nodes = written(elements.join(up, "above", "left").select("site", "key", "depth", "lack", "parent", "share"))
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    done, below = None, None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        level = nodes.filter(F.col("depth") == depth)
-        if below is not None:
-            added = below.groupBy(F.col("parent").alias("key")).agg(F.sum(F.col("share") * F.col("lack")).alias("more"))
-            level = level.join(added, "key", "left").withColumn("lack", F.col("lack") + F.coalesce("more", F.lit(0.0))).drop("more")
-        below = written(level) if depth % 4 == 0 else level
-        done = below if done is None else done.unionByName(below)
-    return (done if done is not None else nodes).select("site", "key", F.round(1 - F.col("lack"), 9).alias("importance"))
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    total = nodes.select("site", "key", "lack")
+    up = written(nodes.filter("parent is not null").select("key", F.col("parent").alias("to"), F.col("share").alias("by")))
+    for _ in range(int(deepest).bit_length()):
+        # the descendants less than twice as far: those of the node 2^k below as well
+        more = up.join(total, "key").groupBy(F.col("to").alias("key")).agg(F.sum(F.col("by") * F.col("lack")).alias("more"))
+        total = written(total.join(more, "key", "left").select("site", "key", (F.col("lack") + F.coalesce("more", F.lit(0.0))).alias("lack")))
+        above = up.select(F.col("key").alias("to"), F.col("to").alias("to2"), F.col("by").alias("by2"))
+        up = written(up.join(above, "to").select("key", F.col("to2").alias("to"), (F.col("by") * F.col("by2")).alias("by")))
+    return total.select("site", "key", F.round(1 - F.col("lack"), 9).alias("importance"))
 
 
 def text_of(root: Node, host: str | None, noise: Callable[[int], bool]) -> tuple[str, int]:
@@ -241,11 +243,25 @@ def main_text(pages: DataFrame, damping: float = DAMPING, threshold: float = THR
     if noise.count() <= local_nodes:
         keys = frozenset(np.asarray(noise.select("key").toArrow()["key"]).tolist())
         return pages.mapInArrow(_extract(lambda batch: (keys.__contains__ for _ in range(len(batch)))), _TEXT)
-    site_of = F.udf(lambda url: _key(host_of(url)) if host_of(url) else None, "long")
-    by_site = noise.groupBy("site").agg(F.collect_list("key").alias("noise"))
-    joined = pages.withColumn("site", site_of("url")).join(by_site, "site", "left").select("page_id", "url", "html", "noise")
+    row = F.sha2(F.concat_ws("\x1f", "url", "html"), 256)
+    own = pages.filter("url is not null and html is not null").select(row.alias("row"), "url", "html").mapInArrow(_keys, "row string, key long").distinct()
+    by_row = own.join(noise.select("key").hint("merge"), "key", "left_semi").groupBy("row").agg(F.collect_list("key").alias("noise"))  # nodes of one page
+    joined = pages.withColumn("row", row).join(by_row.hint("merge"), "row", "left").select("page_id", "url", "html", "noise")
     return joined.mapInArrow(_extract(lambda batch: (frozenset(x or ()).__contains__ for x in batch.column(3).to_pylist())), _TEXT)
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, key) of the nodes of each page."""
+    for batch in batches:
+        at, keys = [], []
+        for r, (url, html) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            host = host_of(url)
+            if host is not None and html:
+                own = {key for _, key, *_ in walk(parse(html), host)}
+                at += [r] * len(own)
+                keys += own
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.int64())], ["row", "key"])
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read(spark, sf_dir, "pages"))
