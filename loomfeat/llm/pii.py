@@ -41,8 +41,9 @@ _PHONE = re.compile(r"\+1 ?\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}")
 _HEX = re.compile(r"[0-9a-fA-F]{16,}")
 _SECRET = re.compile(r"(?=[^a-f]*[a-f])(?=[^0-9]*[0-9])[0-9a-f]{40}")
 _DIGITS = re.compile(r"\d+")
+_WORD = re.compile(r"[^\s\"'=]+|[\"'=]")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SPACE_BACK = 120
+_NEAR = 120  # characters looked at first for the words around; more if these do not hold them
 _MARK = np.zeros(256, bool)
 _MARK[48:58] = True
 _MARK[64] = True
@@ -86,7 +87,23 @@ def coarse(value: str) -> str:
 
 
 def _words(text: str) -> list[str]:
-    return [_DIGITS.sub("0", x.strip(_EDGE).lower() or x[:3]) for x in re.findall(r"[^\s\"'=]+|[\"'=]", text)]
+    return [_DIGITS.sub("0", x.strip(_EDGE).lower() or x[:3]) for x in _WORD.findall(text)]
+
+
+def _before(text: str, start: int) -> list[str]:
+    """The three words before a place, or as many as there are, each whole."""
+    size = _NEAR
+    while True:
+        found = _words(text[max(0, start - size) : start])
+        if start <= size or len(found) > 3:
+            return found[-3:]
+        size *= 4
+
+
+def _after(text: str, end: int) -> list[str]:
+    """The word after a place, whole, or none at the end."""
+    m = _WORD.search(text, end)
+    return _words(m.group()) if m else []
 
 
 def occurrences(text: str) -> Iterator[tuple[int, int, str, str | None, list[str]]]:
@@ -100,7 +117,7 @@ def occurrences(text: str) -> Iterator[tuple[int, int, str, str | None, list[str
         end = start + len(value)
         if not value or not _mark(value):
             continue
-        left, right = _words(text[max(0, start - _SPACE_BACK) : start])[-3:], _words(text[end : end + 40])[:1]
+        left, right = _before(text, start), _after(text, end)
         kind = coarse(value)
         found = [f"shape {shape(value)}", f"left {' '.join(left[-2:])} [{kind}]", f"around {' '.join(left[-1:])} [{kind}] {' '.join(right)}"]
         if len(left) == 3:
