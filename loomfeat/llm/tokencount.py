@@ -8,12 +8,14 @@ where the document that a block begins with has started.
 
 Defined results: null and empty texts have 0 tokens and still end with a separator; tokens after a file's last separator are
 a document of their own; an empty file has no documents; documents longer than a block, or than many, are counted whole;
-rows that repeat a doc_id are counted each for itself; a null doc_id is reported as null.
+rows that repeat a doc_id are counted each for itself; a null doc_id is reported as null; an empty table has no rows.  Extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,7 +45,7 @@ def tokenizer(path: str, pattern: str = PATTERN) -> tiktoken.Encoding:
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", folder))
 
 
 def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, eod: int = EOD) -> DataFrame:
@@ -128,7 +130,8 @@ def token_counts(docs: DataFrame, ranks: str = RANKS, eod: int = EOD, block_toke
     folder = scratch(spark)
     order = written(write_token_files(docs, folder, ranks, eod))
     counts = scan(spark, folder, order.select("file"), eod, block_tokens)
-    return order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # both sides grow with the corpus: neither is broadcast
+    return order.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
