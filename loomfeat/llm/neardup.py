@@ -35,7 +35,7 @@ from loomfeat.llm.shared import read, within, written
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 40, 4, 0.5
 BLOCK, TURNS = 512, 3  # documents that one task compares with each other; pivots of a larger bucket
-FEW = 2_000_000  # rows that are broadcast at most, and compared with a count first
+FEW = 1_000_000  # rows of ids that are broadcast at most, and compared with a count first
 _U = np.uint64
 _LAZY = 6
 _EMPTY = np.iinfo(np.uint64).max
@@ -230,9 +230,17 @@ def _distinct_buckets(rows: DataFrame) -> DataFrame:
 _NO_EDGES = "a long, b long"
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    rows = written(rows)
+    return sets.join(F.broadcast(rows) if rows.count() <= FEW else rows.hint("merge"), "doc_id")
+
+
 def _in_cells(rows: DataFrame, sets: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Links of the cells that ``rows`` (keys, doc_id, side) make, each of about 2 BLOCK documents at most."""
-    return rows.join(sets, "doc_id").groupBy(*keys).applyInArrow(_compare(threshold), _NO_EDGES)
+    """Links of the cells that ``rows`` (keys, doc_id, side) make, each of about 2 BLOCK documents at most.
+
+    Few rows are sent to the sets, which then move once, to their cells.
+    """
+    return _with_sets(rows, sets).groupBy(*keys).applyInArrow(_compare(threshold), _NO_EDGES)
 
 
 def _by_blocks(lists: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -264,13 +272,15 @@ def _split(large: DataFrame, sets: DataFrame, threshold: float, block: int, turn
     each = _by_count(distinct, parts, ["pivot"], "inner").select("pivot", F.pmod(F.xxhash64("doc_id", F.lit(5)), "parts").cast("int").alias("part"), "doc_id", F.lit(0).alias("side"))
     centre = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("doc_id"), F.lit(1).alias("side"))
     # a part with no document in it has a pivot only
-    found = written(each.union(centre).join(sets, "doc_id").groupBy("pivot", "part").applyInArrow(_to_pivot, "pivot long, doc_id long, jaccard double"))
+    found = written(_with_sets(each.union(centre), sets).groupBy("pivot", "part").applyInArrow(_to_pivot, "pivot long, doc_id long, jaccard double"))
     known = written(pairs.filter("doc_id <> pivot").join(found, ["pivot", "doc_id"]).select("bucket", "doc_id", "jaccard"))
     half = (1 - threshold) / 2
     core = known.filter(F.col("jaccard") >= 1 - half).select("bucket", "doc_id")
     ring = known.filter((F.col("jaccard") < threshold) & (F.col("jaccard") >= threshold - half)).select("bucket", "doc_id")
     links = found.filter(F.col("jaccard") >= threshold).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    return links.union(_across(core, ring, sets, threshold, block)), written(known.filter(F.col("jaccard") < 1 - half).select("bucket", "doc_id"))
+    if not ring.isEmpty():
+        links = links.union(_across(core, ring, sets, threshold, block))
+    return links, written(known.filter(F.col("jaccard") < 1 - half).select("bucket", "doc_id"))
 
 
 def _elements(shingles: Column) -> Column:
@@ -306,7 +316,7 @@ def links_of(buckets: DataFrame, sets: DataFrame, threshold: float = THRESHOLD,
         out = out.union(found)
         if large.isEmpty():
             return out
-    rest = written(sets.join(large.select("doc_id").distinct(), "doc_id", "left_semi"))
+    rest = written(within(sets, large.select("doc_id").distinct(), "doc_id", FEW))
     lists = written(_distinct_buckets(written(_prefixes(rest, threshold))))
     short = lists.filter(F.col("n") <= block).select("bucket", "doc_id", F.lit(0).alias("side"))
     return out.union(_in_cells(short, rest, ["bucket"], threshold)).union(_by_blocks(lists.filter(F.col("n") > block), rest, threshold, block))
