@@ -5,7 +5,7 @@ NULL gives NULL throughout; a formula outside its domain (log of a value below -
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,11 @@ def zscore(x: Column, mean: float, variance: float) -> Column:
     return (x - F.lit(mean)) / F.lit(max(variance**0.5, 1e-7))
 
 
+def _known(x: Column, y: Column) -> Column:
+    """NULL where ``x`` is: greatest and least take the other value."""
+    return F.when(x.isNotNull(), y)
+
+
 def rescale(x: Column, scale: float = 1.0) -> Column:
     return x * F.lit(float(scale))
 
@@ -29,7 +34,7 @@ def bucket(x: Column, boundaries: Sequence[float]) -> Column:
 
 def uniform_bin(x: Column, least: float, most: float, bins: int) -> Column:
     at = F.floor((x - least) / F.lit(most - least + 1e-6) * bins)
-    return F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)).cast("int")
+    return _known(x, F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)).cast("int"))
 
 
 def one_hot(index: Column, depth: int) -> Column:
@@ -41,12 +46,12 @@ def log(x: Column) -> Column:
 
 
 def sqrt(x: Column) -> Column:
-    return F.sqrt(F.greatest(x, F.lit(0.0)) + EPS)
+    return _known(x, F.sqrt(F.greatest(x, F.lit(0.0)) + EPS))
 
 
 def box_cox(x: Column, lam: float = 0.0) -> Column:
     positive = F.greatest(x, F.lit(EPS))
-    return F.ln(positive) if abs(lam) < EPS else (F.pow(positive, F.lit(float(lam))) - 1) / lam
+    return _known(x, F.ln(positive) if abs(lam) < EPS else (F.pow(positive, F.lit(float(lam))) - 1) / lam)
 
 
 def yeo_johnson(x: Column, lam: float = 1.0) -> Column:
@@ -65,13 +70,13 @@ def cube_root(x: Column) -> Column:
 
 def logit(x: Column) -> Column:
     p = F.least(F.greatest(x, F.lit(EPS)), F.lit(1 - EPS))
-    return F.ln(p / (1 - p))
+    return _known(x, F.ln(p / (1 - p)))
 
 
 def min_max(x: Column, least: float, most: float, clip: bool = False) -> Column:
     """To [0, 1] by the fitted or configured ends; a constant column gives 0."""
     y = (x - F.lit(least)) / F.lit(most - least) if most > least else x * 0.0
-    return F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0)) if clip else y
+    return _known(x, F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0))) if clip else y
 
 
 def robust(x: Column, median: float, iqr: float) -> Column:
@@ -91,6 +96,17 @@ def periodic(z: Column, frequency: float = 1.0, phase: float = 0.0) -> Column:
 TRANSFORMS = {"none": lambda x: x, "log": log, "sqrt": sqrt, "box_cox": box_cox, "yeo_johnson": yeo_johnson, "arcsinh": arcsinh, "cube_root": cube_root, "logit": logit}
 
 
+KINDS = ("sparse", "periodic", "discrete", "beta", "uniform", "log_normal", "exponential", "gamma", "cauchy", "heavy_tailed", "multimodal", "zero_inflated", "normal")
+
+
+def kind_of(s: Mapping[str, object]) -> str:
+    """The kind of distribution by a ladder over statistics (zero_ratio, skewness, kurtosis with 3 for a normal one, ...); those that are not there say no."""
+    zero, unique, skew, kurt = (s.get(k) or d for k, d in (("zero_ratio", 0.0), ("unique_ratio", 1.0), ("skewness", 0.0), ("kurtosis", 3.0)))
+    bounded, positive = bool(s.get("bounded01")), not s.get("negative")
+    rules = (zero > 0.5, s.get("periodic"), unique < 0.1, bounded and abs(skew) > 0.5, bounded, positive and skew > 2, positive and skew > 1, positive and skew > 0.5, kurt > 10, kurt > 4, s.get("multimodal"), zero > 0.3, True)
+    return next(k for k, holds in zip(KINDS, rules, strict=True) if holds)
+
+
 def choose_transform(skewness: float, excess_kurtosis: float, negative: bool, zeros: bool, bounded01: bool, candidates: Sequence[str] | None = None) -> str:
     """The transform for a distribution; of ``candidates`` only, if given.  Bounded values come before non-negative ones."""
     if bounded01:

@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LITERAL_VOCABULARY = 1000  # tokens up to which a vocabulary is a literal map; beyond, Arrow looks them up
+
 PUNCTUATION = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
 
 
@@ -23,10 +27,25 @@ def tokens(x: Column, stop_words: Sequence[str] = ()) -> Column:
     return F.filter(F.split(clean(x, stop_words), " "), lambda t: t != "")
 
 
-def vectorize(x: Column, vocabulary: Sequence[str], length: int = 35) -> Column:
+def _ids(own: Column, vocabulary: Sequence[str]) -> Column:
+    """2 + the place of each token, 1 for others."""
+    if len(vocabulary) <= LITERAL_VOCABULARY:
+        table = F.create_map(*[y for i, v in enumerate(vocabulary) for y in (F.lit(v), F.lit(i + 2))]) if vocabulary else F.create_map(F.lit(""), F.lit(1))
+        return F.transform(own, lambda t: F.coalesce(F.element_at(table, t), F.lit(1)))
+    known = pa.array(list(vocabulary), pa.string())
+
+    @F.arrow_udf("array<int>")
+    def run(column: pa.Array) -> pa.Array:
+        at = pc.add(pc.fill_null(pc.index_in(column.flatten(), value_set=known), -1), 2)
+        off = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(pc.cast(pc.fill_null(column.value_lengths(), 0), pa.int64()))]).cast(pa.int32())
+        return pa.ListArray.from_arrays(off, at.cast(pa.int32()), mask=column.is_null())
+
+    return run(own)
+
+
+def vectorize(x: Column, vocabulary: Sequence[str], length: int = 35, stop_words: Sequence[str] = ()) -> Column:
     """Token indices, padded with 0 and cut at ``length``; 1 is out of vocabulary, the vocabulary begins at 2."""
-    table = F.create_map(*[y for i, v in enumerate(vocabulary) for y in (F.lit(v), F.lit(i + 2))]) if vocabulary else F.create_map(F.lit(""), F.lit(1))
-    ids = F.transform(F.slice(tokens(x), 1, length), lambda t: F.coalesce(F.element_at(table, t), F.lit(1)))
+    ids = _ids(F.slice(tokens(x, stop_words), 1, length), vocabulary)
     return F.slice(F.concat(ids, F.array_repeat(F.lit(0), length)), 1, length)
 
 
@@ -50,6 +69,20 @@ def vocabulary(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(tokens(F.col(column))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+def top_tokens(df: DataFrame, column: str, most: int, stop_words: Sequence[str] = ()) -> list[str]:
+    """The ``most`` tokens that come most often, of equal counts the least first; at most ``most`` are collected."""
+    words = df.select(F.explode(tokens(F.col(f"`{column}`"), stop_words)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return [r["token"] for r in words.orderBy(F.desc("n"), "token").limit(most).collect()]
+
+
+def record(df: DataFrame, column: str) -> DataFrame:
+    """One row: tokens and distinct tokens of a column, the size of the vocabulary to use, the mean and the advised length."""
+    own = tokens(F.col(f"`{column}`"))
+    each = df.select(F.size(own).alias("n")).agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("tokens"), F.avg(F.when(F.col("n") >= 0, F.col("n"))).alias("mean_length"))
+    size = vocabulary(df, column).agg(F.count("*").alias("size"))
+    return each.crossJoin(size).select("tokens", "size", F.least("size", F.lit(10000).cast("long")).alias("vocab_size"), "mean_length", F.lit(100).alias("sequence_length"))
+
+
 def tf_idf(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, token, tf, df, tf_idf) with idf = ln((1 + N) / (1 + df)) + 1; the tables meet on the token, which is skewed, so df comes from a window-free join AQE may split."""
     words = df.select(F.col(key), F.explode(tokens(F.col(column))).alias("token"))

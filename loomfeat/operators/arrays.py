@@ -11,22 +11,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _by_length(column: pa.Array, kernel: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+def by_length(column: pa.Array, kernel: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
     """The kernel over the rows of each length at once; NULL and empty arrays give NULL, NULL elements count as 0."""
-    out: list = [None] * len(column)
     sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    width, parts = np.zeros(len(column), np.int64), []
     for n in np.unique(sizes[sizes > 0]):
         at = np.flatnonzero(sizes == n)
-        x = column.take(pa.array(at)).flatten().fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, n)
-        for r, row in zip(at.tolist(), kernel(x).tolist(), strict=True):
-            out[r] = row
-    return pa.array(out, pa.list_(pa.float64()))
-
-
-def _apply(a: Column, kernel: Callable[[np.ndarray], np.ndarray]) -> Column:
+        own = column if len(at) == len(column) else column.take(pa.array(at))
+        made = kernel(own.flatten().fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, n))
+        width[at] = made.shape[1]
+        parts.append((at, made))
+    off = np.r_[0, np.cumsum(width)]
+    flat = np.empty(off[-1])
+    for at, made in parts:
+        flat[(off[at][:, None] + np.arange(made.shape[1])).ravel()] = made.ravel()
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat), mask=pa.array(sizes == 0))
+
+
+def apply(a: Column, kernel: Callable[[np.ndarray], np.ndarray]) -> Column:
     @F.arrow_udf("array<double>")
     def run(column: pa.Array) -> pa.Array:
-        return _by_length(column, kernel)
+        return by_length(column, kernel)
 
     return run(a.cast("array<double>"))
 
@@ -44,7 +49,7 @@ def wavelet(a: Column, levels: int = 2, keep: str = "all") -> Column:
             x = smooth
         return np.concatenate({"all": [*parts, x], "approximation": [x], "details": parts}[keep], axis=1) / n
 
-    return _apply(a, kernel)
+    return apply(a, kernel)
 
 
 def autocorrelation(a: Column, lags: Sequence[int]) -> Column:
@@ -56,7 +61,7 @@ def autocorrelation(a: Column, lags: Sequence[int]) -> Column:
         each = [(c[:, : max(0, c.shape[1] - k)] * c[:, k:]).sum(1) for k in lags]
         return np.stack([np.divide(e, square, out=np.zeros(len(x)), where=square > 0) for e in each], axis=1)
 
-    return _apply(a, kernel)
+    return apply(a, kernel)
 
 
 def _rfft(x: np.ndarray, window: str = "none") -> np.ndarray:
@@ -95,4 +100,4 @@ def fft(a: Column, mode: str = "power", k: int = 8, window: str = "none") -> Col
         shape = [(c**3).mean(1) / (std**3 + 1e-10), (c**4).mean(1) / (std**4 + 1e-10) - 3]
         return np.stack([mean, np.sort(p, axis=1)[:, bins // 2], std, *shape, p[:, :low].sum(1), p[:, low:mid].sum(1), p[:, mid:].sum(1)], 1)
 
-    return _apply(a, kernel)
+    return apply(a, kernel)

@@ -6,13 +6,15 @@ attention between the rows of a batch, which would make results depend on partit
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomfeat.operators.arrays import by_length
+
 
 class Weights:
     """Named matrices; those not supplied are drawn from the seed and their name, as Glorot's uniform."""
@@ -82,6 +84,25 @@ def transformer(x: np.ndarray, w: Weights, units: int, heads: int = 2, name: str
     return t.reshape(*x.shape[:-1], -1)
 
 
+def tabular_attention(x: np.ndarray, w: Weights, units: int, heads: int = 2, context: np.ndarray | None = None, name: str = "ta") -> np.ndarray:
+    """Attention between the features of a row, then of the row to those of ``context``, rows that are the same for all.
+
+    The rows of a batch do not attend to each other: which they are depends on partitions.
+    """
+
+    def features(v: np.ndarray) -> np.ndarray:
+        t = v[..., None] * w(f"{name}.in", v.shape[-1], units)
+        t = _norm(t + attention(t, t, w, units, heads, f"{name}.features"))
+        return _norm(t + dense(np.maximum(dense(t, w, f"{name}.ff1", 2 * units), 0), w, f"{name}.ff2", units)).reshape(len(v), -1)
+
+    own = features(x)
+    if context is None:
+        return own
+    others, width = features(np.asarray(context, float)), own.shape[1]
+    score = _softmax(dense(own, w, f"{name}.q", units) @ dense(others, w, f"{name}.k", units).T / units**0.5)
+    return _norm(own + score @ dense(others, w, f"{name}.v", width))
+
+
 def multi_resolution(x: np.ndarray, w: Weights, units: int, numeric: int, heads: int = 2, name: str = "mr") -> np.ndarray:
     """The first ``numeric`` features and the others as two streams that attend to themselves and to each other."""
     t = x[..., None] * w(f"{name}.in", x.shape[-1], units)
@@ -111,28 +132,49 @@ def numerical_embedding(x: np.ndarray, w: Weights, units: int, least: float = 0.
     return y.mean(-2) if pool == "mean" else y.max(-2) if pool == "max" else y.reshape(*x.shape[:-1], -1)
 
 
-BLOCKS: dict[str, Callable[..., np.ndarray]] = {"glu": gated_linear_unit, "grn": gated_residual, "variable_selection": variable_selection, "transformer": transformer, "multi_resolution": multi_resolution, "moe": mixture, "numerical_embedding": numerical_embedding}
+BLOCKS: dict[str, Callable[..., np.ndarray]] = {"glu": gated_linear_unit, "grn": gated_residual, "variable_selection": variable_selection, "transformer": transformer, "tabular_attention": tabular_attention, "multi_resolution": multi_resolution, "moe": mixture, "numerical_embedding": numerical_embedding}
+
 
+def apply(vector: Column, block: str, units: int, seed: int = 0, given: dict[str, np.ndarray] | None = None, residual: bool = False, **options: object) -> Column:
+    """The block over an array column; NULL and empty give NULL, NULL elements count as 0, rows of other lengths have other weights.
 
-def apply(vector: Column, block: str, units: int, seed: int = 0, given: dict[str, np.ndarray] | None = None, **options: object) -> Column:
-    """The block over an array column; NULL gives NULL, NULL elements count as 0."""
+    With ``residual`` the vector is added, through a projection where its width is another.
+    """
     run_block = BLOCKS[block]
 
+    def kernel(x: np.ndarray) -> np.ndarray:
+        w = Weights(seed, given)
+        y = run_block(x, w, units, **options)
+        return y + (x if x.shape == y.shape else dense(x, w, "residual", y.shape[1])) if residual else y
+
     @F.arrow_udf("array<double>")
     def run(column: pa.Array) -> pa.Array:
-        valid = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-        out: list = [None] * len(column)
-        if len(valid):
-            own = column.take(pa.array(valid))
-            width = own.value_lengths()[0].as_py()
-            x = own.flatten().fill_null(0.0).to_numpy(zero_copy_only=False).reshape(len(valid), width)
-            for r, y in zip(valid.tolist(), run_block(x, Weights(seed, given), units, **options).tolist(), strict=True):
-                out[r] = y
-        return pa.array(out, pa.list_(pa.float64()))
+        return by_length(column, kernel)
 
     return run(vector.cast("array<double>"))
 
 
+def rows_of(index: Column, table: np.ndarray) -> Column:
+    """The row of a weight table for each index; NULL has none."""
+
+    @F.arrow_udf("array<double>")
+    def run(column: pa.Array) -> pa.Array:
+        at = column.fill_null(0).to_numpy(zero_copy_only=False)
+        off = np.arange(len(at) + 1, dtype=np.int32) * table.shape[1]
+        return pa.ListArray.from_arrays(pa.array(off), pa.array(table[at].ravel()), mask=column.is_null())
+
+    return run(index.cast("int"))
+
+
+def stack(columns: Sequence[Column]) -> Column:
+    """Vectors as the rows of one matrix."""
+    return F.array(*columns)
+
+
+def unstack(matrix: Column, n: int) -> list[Column]:
+    return [F.get(matrix, F.lit(i)) for i in range(n)]
+
+
 def describe(w: Weights) -> list[dict]:
     """Name, shape and kind of each weight."""
     return [{"name": k, "shape": v.shape, "dtype": str(v.dtype)} for k, v in sorted(w.given.items())]
