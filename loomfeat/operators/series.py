@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from loomfeat.functions import numeric
+
 
 def window(group: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*group).orderBy(*order)
@@ -183,3 +185,10 @@ def chain(df: DataFrame, value: str, group: Sequence[str], order: Sequence[str],
     df = df.withColumns({f"{value}_{k}": c for k, c in new.items()})
     need = reduce(max, [*lag, rolling_size - 1, difference_order, *(p - 1 for p in averages)], 0)
     return trimmed(df, w, need) if drop_na else df
+
+
+def normalised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each column scaled to [0, 1] by its least and greatest value over all rows; constant ones become 0."""
+    ends = df.agg(*[f(F.col(f"`{c}`").cast("double")).alias(f"{c}{k}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    scaled = {c: numeric.min_max(F.col(f"`{c}`").cast("double"), ends[f"{c}lo"] or 0.0, ends[f"{c}hi"] or 0.0) for c in columns}
+    return df.withColumns(scaled)
