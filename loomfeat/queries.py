@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfeat import forward
 from loomfeat.functions import categorical, dates, numeric, text
 from loomfeat.operators import advisor, arrays, inference, neural, series, stats
 from loomfeat.plans.pipeline import Feature, Pipeline, split
@@ -197,7 +198,20 @@ def distribution_aware(spark: SparkSession, d: str) -> DataFrame:
     return df.select(*LK.split(", "), r(p[0]).alias("z"), r(p[1]).alias("s"), r(p[2]).alias("c"), r(F.col("discrete")).alias("discrete"))
 
 
-@query()
+def _detected(c: str) -> str:
+    """The ladder of one column; periods by products of rows that lie 1 to 20 apart, peaks by the smoothed histogram."""
+    lag = ", ".join(f"lag(c, {k}) over (order by {LK}) l{k}" for k in range(1, 21))
+    acf = "[" + ", ".join(f"case when {k} <= n // 3 then sum(c * l{k}) / sum(c * c) end" for k in range(1, 21)) + "]"
+    return f"""select '{c}' as feature, case when zero > 0.5 then 'sparse' when peaks > 0 then 'periodic' when uniq < 0.1 then 'discrete' when b01 and abs(skew) > 0.5 then 'beta' when b01 then 'uniform' when not neg and skew > 2 then 'log_normal' when not neg and skew > 1 then 'exponential'
+when not neg and skew > 0.5 then 'gamma' when kurt > 10 then 'cauchy' when kurt > 4 then 'heavy_tailed' when modes > 1 then 'multimodal' when zero > 0.3 then 'zero_inflated' else 'normal' end as distribution,
+case when b01 then case when abs(skew) > 0.5 then 'logit' else 'min_max' end when abs(skew) < 0.5 and abs(kurt - 3) < 1 then 'none' when neg then case when abs(skew) > 1 then 'yeo_johnson' else 'arcsinh' end when zero > 0 then case when skew < 2 then 'sqrt' else 'yeo_johnson' end when skew > 2 then 'log' when skew > 0.5 then 'box_cox' else 'sqrt' end as transform from
+(select avg((abs({c}) < 1e-10)::int) zero, count(distinct {c}) / count({c})::double uniq, {_skew(c, 'lineitem')} skew, kurtosis_pop({c}) + 3 kurt, bool_or({c} < 0) neg, bool_and({c} between 0 and 1) b01 from lineitem),
+(select count(*) peaks from (select unnest(range(1, 21)) k, a from (select list_transform({acf}, lambda v: coalesce(v, -1e9)) a from (select *, {lag} from (select {LK}, {c} - avg({c}) over () c, count({c}) over () n from lineitem where {c} is not null)) group by n)) where a[k] > greatest(coalesce(a[k - 1], -1e9), coalesce(a[k + 1], -1e9), 0.2)),
+(with e as (select min({c}) lo, max({c}) hi from lineitem), h as (select least(floor(({c} - lo) / greatest(hi - lo, 1e-12) * 100), 99)::int b, count(*) n from lineitem, e where {c} is not null group by 1), f as (select i.range b, coalesce(n, 0) n from range(100) i left join h on h.b = i.range),
+s as (select b, coalesce(lag(n) over (order by b), 0) + n + coalesce(lead(n) over (order by b), 0) as s from f), p as (select s > coalesce(lag(s) over (order by b), -1) and s > coalesce(lead(s) over (order by b), -1) and s > 0.1 * max(s) over () as peak from s) select count(*) filter (where peak) modes from p)"""
+
+
+@query(" union all ".join(map(_detected, NUMBERS)))
 def detect_distribution(spark: SparkSession, d: str) -> DataFrame:
     """Kind of distribution and chosen transform of each column (approximate distinct counts)."""
     row = advisor.profile(table(spark, d, "lineitem"), NUMBERS, LK.split(", "))
@@ -343,12 +357,17 @@ def autocorrelation(spark: SparkSession, d: str) -> DataFrame:
     return series.autocorrelation(table(spark, d, "events"), "value", *SERIES, 5).select("lag", r(F.col("acf")).alias("acf"))
 
 
-@query()
+_LAGGED = ", ".join(f"lag(value, {k}) over ({W}) l{k}" for k in range(1, 11))
+_ACF = " union all ".join(f"select {k} k, avg(c{k}) a from c" for k in range(1, 11))
+
+
+@query("with l as (select event_id, user_id, value, " + _LAGGED + " from events), c as (select " + ", ".join(f"case when stddev_pop(value) filter (where l{k} is not null) > 0 and stddev_pop(l{k}) > 0 then corr(value, l{k}) end c{k}" for k in range(1, 11)) + f" from l group by user_id), t as (select k from ({_ACF}) where a is not null order by abs(a) desc, k limit 3), chosen as (select list(k order by k) ks from t) select event_id, list_transform(ks, lambda k: k::int) as lags, list_transform(ks, lambda k: [" + ", ".join(f"l{k}" for k in range(1, 11)) + "][k]) as lagged from l, chosen")
 def auto_lags(spark: SparkSession, d: str) -> DataFrame:
+    """The three lags of greatest autocorrelation, and the values that far back."""
     df = table(spark, d, "events")
     chosen = series.select_lags(series.autocorrelation(df, "value", *SERIES, 10), top_k=3)
     made = series.lags(F.col("value"), series.window(*SERIES), chosen)
-    return df.select("event_id", *[c.alias(k) for k, c in made.items()])
+    return df.select("event_id", F.lit(chosen).cast("array<int>").alias("lags"), F.array(*made.values()).alias("lagged"))
 
 
 _ST = {
@@ -364,20 +383,40 @@ def series_features(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in out.columns if c != "user_id"])
 
 
-@query()
+def _frequencies(rows: str, keys: str) -> str:
+    """Coefficients and autocorrelations of the rows (keys, x, t, n), by sums of sines and cosines."""
+    wave = lambda f, k: f"sum(c * {f}({TAU} * ((t * {k}) % n) / n))"
+    a = ", ".join(f"case when max(n) > {k} then sqrt(pow({wave('cos', k)}, 2) + pow({wave('sin', k)}, 2)) else 0 end a{k}" for k in range(1, 5))
+    l = ", ".join(f"coalesce(sum(c * l{k}) / nullif(sum(c * c), 0), 0) acf{k}" for k in (1, 2, 3))  # noqa: E741
+    return f"""with r as ({rows}), c as (select {keys}, t, n, coalesce(case when min(x) over g < max(x) over g then x - avg(x) over g end, 0) c from r window g as (partition by {keys})),
+l as (select *, {', '.join(f'lag(c, {k}) over (partition by {keys} order by t) l{k}' for k in (1, 2, 3))} from c), s as (select {keys}, 0.0 a0, {a}, {l} from l group by {keys})
+select {keys}, list_transform([a0, a1, a2, a3, a4], lambda v: {rs('coalesce(v / nullif(a1 + a2 + a3 + a4, 0), 0)')}) as fft_coef, {', '.join(f'{rs(f"acf{k}")} as autocorrelation_lag_{k}' for k in (1, 2, 3))} from s"""
+
+
+_WHOLE = f"select user_id, value x, row_number() over ({W}) - 1 t, count(*) over (partition by user_id) n from events"
+_WINDOWS = f'select user_id, s as "window", x, t - s as t, 20 as n from (select *, unnest([10 * (t // 10), 10 * (t // 10) - 10]) s from ({_WHOLE})) where s >= 0 and s + 20 <= n'
+
+
+@query(_frequencies(_WHOLE, "user_id"))
 def series_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """Fourier coefficients and autocorrelations of each whole series."""
     out = series.frequency_features(table(spark, d, "events"), "value", *SERIES)
     return out.select("user_id", ra(F.col("fft_coef")).alias("fft_coef"), *[r(F.col(c)).alias(c) for c in out.columns if c.startswith("autocorrelation")])
 
 
-@query()
+_WK = 'user_id, "window"'
+
+
+@query(f"""with f as ({_frequencies(_WINDOWS, _WK)}), w as (select *, avg(x) over (partition by {_WK}) m, (x > lag(x) over o and x > lead(x) over o)::int pk, (x < lag(x) over o and x < lead(x) over o)::int vl from ({_WINDOWS}) window o as (partition by {_WK} order by t)),
+s as (select {_WK}, {', '.join(f'round({x}, 4)::double + 0.0 as {k}' for k, x in _ST.items())} from w group by {_WK}) select * from s join f using ({_WK})""")
 def series_window_features(spark: SparkSession, d: str) -> DataFrame:
     """All features of windows of 20 rows, each tenth of them."""
     (group, order), df = SERIES, table(spark, d, "events")
     windows = series.sliding(df, group, order, 20, 10)
     keys = [*group, "window"]
-    return series.features(windows, "value", keys, order).join(series.frequency_features(windows, "value", keys, order), keys)
+    some, more = series.features(windows, "value", keys, order), series.frequency_features(windows, "value", keys, order)
+    some = some.select(*keys, *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in some.columns if c not in keys])
+    return some.join(more.select(*keys, ra(F.col("fft_coef")).alias("fft_coef"), *[r(F.col(c)).alias(c) for c in more.columns if c.startswith("auto")]), keys)
 
 
 @query(f"""with a as (select vec_id, embedding::double[] e from embeddings), b as (select vec_id, e, list_transform(range(1, 64), lambda i: (e[i] + e[i + 1]) / 2) s from a), c as (select *, list_transform(range(1, 61), lambda i: (s[i] + s[i + 1] + s[i + 2] + s[i + 3]) / 4) u from b),
@@ -393,21 +432,44 @@ def array_fft(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", ra(arrays.fft(F.col("embedding"), "full", 8)).alias("power"))
 
 
-@query()
+def _bins(f: str) -> str:
+    return f"list_transform(range(0, 33), lambda k: list_sum(list_transform(range(0, 64), lambda t: x[t + 1] * {f}({TAU} * ((k * t) % 64) / 64))))"
+
+
+@query(f"""with w as (select vec_id, list_transform(range(0, 64), lambda t: embedding[t + 1]::double * (0.5 - 0.5 * cos({TAU} * t / 63))) x from embeddings), z as (select vec_id, {_bins('cos')} re, {_bins('sin')} im from w),
+q as (select vec_id, list_transform(range(1, 34), lambda i: re[i] * re[i] + im[i] * im[i]) p, list_transform(range(1, 34), lambda i: atan2(case when i in (1, 33) then 0.0 else 0 - im[i] end, re[i])) ph from z),
+u as (select vec_id, list_transform(p, lambda v: v / list_max(p)) p, ph from q), m as (select *, list_avg(p) mu, list_stddev_pop(p) sd, (list_sort(list_transform(range(1, 34), lambda i: struct_pack(o := -p[i], i := i))))[1:4] top from u)
+select vec_id, list_transform([p[1], p[11], p[22], p[33]], lambda v: {rs('v')}) as power, flatten(list_transform(top, lambda s: [{rs('p[s.i]')}, {rs('(s.i - 1) / 33.0')}, {rs('ph[s.i]')}])) as dominant,
+list_transform([mu, (list_sort(p))[17], sd, list_avg(list_transform(p, lambda v: pow(v - mu, 3))) / (pow(sd, 3) + 1e-10), list_avg(list_transform(p, lambda v: pow(v - mu, 4))) / (pow(sd, 4) + 1e-10) - 3, list_sum(p[1:6]), list_sum(p[7:19]), list_sum(p[20:33])], lambda v: {rs('v')}) as stats from m""")
 def array_fft_modes(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("embedding")
     return table(spark, d, "embeddings").select("vec_id", *[ra(arrays.fft(e, m, 4, "hann")).alias(m) for m in ("power", "dominant", "stats")])
 
 
-@query()
+_INPUTS = dict(zip(("a", "b", "c", "d"), (f"{c} / {s}" for c, s in zip(NUMBERS, (50, "1e5", 0.1, 0.1), strict=True)), strict=True))
+
+
+@query(forward.sql(LK, _INPUTS, "lineitem", 4, 4))
 def neural_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Every learned block with seeded weights over a vector of numbers."""
     v = F.array(*[F.col(c) / s for c, s in zip(NUMBERS, (50, 1e5, 0.1, 0.1), strict=True)])
     blocks = {b: neural.apply(v, b, 4, **({"numeric": 2} if b == "multi_resolution" else {})) for b in neural.BLOCKS}
-    return table(spark, d, "lineitem").select(*LK.split(", "), *[ra(c).alias(k) for k, c in blocks.items()])
+    return table(spark, d, "lineitem").select(*LK.split(", "), *[F.transform(c, lambda x: F.round(x, 4) + F.lit(0.0)).alias(k) for k, c in blocks.items()])
+
+
+def _inferred(c: str, kind: str) -> str:
+    rule = {
+        "string": f"case when avg(coalesce(regexp_matches({c}, '^\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}'), false)::int) > 0.9 then 'DATE' when count(distinct {c}) / count({c})::double > 0.7 and avg(len(regexp_split_to_array({c}, '\\s+'))) > 3 then 'TEXT' else 'STRING_CATEGORICAL' end",
+        "integer": f"case when count(distinct {c}) < 20 or count(distinct {c}) / count({c})::double < 0.05 then 'INTEGER_CATEGORICAL' else 'FLOAT_NORMALIZED' end",
+        "double": "max('FLOAT_NORMALIZED')",
+    }[kind]
+    return f"select '{c}' as feature, {rule} as inferred from part"
+
+
+_PART = {"p_partkey": "integer", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "integer", "p_retailprice": "double"}
 
 
-@query("select * from (values ('p_partkey', 'FLOAT_NORMALIZED'), ('p_name', case when (select count(distinct p_name) / count(p_name)::double > 0.7 and avg(len(regexp_split_to_array(p_name, '\\s+'))) > 3 from part) then 'TEXT' else 'STRING_CATEGORICAL' end), ('p_brand', 'STRING_CATEGORICAL'), ('p_type', 'STRING_CATEGORICAL'), ('p_size', case when (select count(distinct p_size) < 20 or count(distinct p_size) / count(*)::double < 0.05 from part) then 'INTEGER_CATEGORICAL' else 'FLOAT_NORMALIZED' end), ('p_retailprice', 'FLOAT_NORMALIZED')) t(feature, inferred)")
+@query(" union all ".join(_inferred(*x) for x in _PART.items()))
 def type_inference(spark: SparkSession, d: str) -> DataFrame:
     return advisor.infer_types(table(spark, d, "part"))
 
@@ -422,15 +484,24 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
     return advisor.interactions(table(spark, d, "lineitem"), list(NUMBERS)).withColumn("corr", r(F.col("corr")))
 
 
-@query("with n as (select 'event_type' f, count(distinct event_type) v from events union all select 'user_id', count(distinct user_id) from events) select f as feature, case when v < 50 then 'one_hot' when v < 100 then 'embedding' else 'hashing' end as encoding, v as size from n")
+_BINS = "case when v < 5000 then greatest(v * 3 // 10 * 10, 100) when v < 50000 then greatest(v // 5 // 50 * 50, 1000) else greatest(v // 10 // 100 * 100, 5000) end"
+_ADVICE = f"case when v < 50 then 'one_hot' when v < 100 then 'embedding' when v <= 10000 then 'hashing' else 'hash_embedding' end as encoding, case when v >= 100 then {_BINS} end::int as bins, case when v between 50 and 99 then least(greatest(4, v // 8), 64) when v > 10000 then least(greatest(8, ({_BINS}) // 128), 32) end::int as width"
+_COUNTED = {"event_type": "events", "user_id": "events", "event_id": "events", "p_name": "part", "o_orderkey": "orders"}
+
+
+@query("with n as (" + " union all ".join(f"select '{c}' f, count(distinct {c}) v from {t}" for c, t in _COUNTED.items()) + f") select f as feature, v as size, {_ADVICE} from n")
 def advise_categorical(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "events").agg(F.count_distinct("event_type").alias("event_type"), F.count_distinct("user_id").alias("user_id")).first().asDict()
-    return spark.createDataFrame([(k, advisor.advise_categorical(v)["encoding"], v) for k, v in n.items()], "feature string, encoding string, size long")
+    rows = []
+    for c, t in _COUNTED.items():
+        v = table(spark, d, t).agg(F.count_distinct(c)).first()[0]
+        a = advisor.advise_categorical(v)
+        rows.append((c, v, a["encoding"], a.get("hash_bins"), a.get("embedding_dim")))
+    return spark.createDataFrame(rows, "feature string, size long, encoding string, bins int, width int")
 
 
-@query("select user_id, count(*) as rows from events group by 1 having count(*) < 21")
+@query("select user_id, count(*) as rows from events group by 1 having count(*) < 70")
 def history_check(spark: SparkSession, d: str) -> DataFrame:
-    return inference.insufficient(table(spark, d, "events"), ["user_id"], inference.required_history(lags=[1, 7], window_size=21))
+    return inference.insufficient(table(spark, d, "events"), ["user_id"], inference.required_history(lags=[1, 7], window_size=21, periods=[70]))
 
 
 @query("with l as (select user_id, max(ts)::date d from events group by 1) select user_id, (d + i.range::int)::date as ts, true as is_new from l, range(1, 4) i union all select user_id, ts::date, false from events")
@@ -438,3 +509,83 @@ def history_and_future(spark: SparkSession, d: str) -> DataFrame:
     """History with the frame of three more days of each series."""
     df = table(spark, d, "events").select("user_id", F.col("ts").cast("date").alias("ts"))
     return inference.combine(df, inference.future(df, ["user_id"], "ts", 3))
+
+
+_MI = ("p_brand", "p_type", "p_size")
+
+
+@query(" union all ".join(f"""select '{a}' as a, '{b}' as b, {rs('sum(n / t * ln(n * t / (nx * ny)))')} as mi, sum(n / t * ln(n * t / (nx * ny))) > 0.5 as interacts from
+(select n::double n, sum(n) over (partition by {a})::double nx, sum(n) over (partition by {b})::double ny, sum(n) over ()::double t from (select {a}, {b}, count(*) n from part where {a} is not null and {b} is not null group by all))""" for i, a in enumerate(_MI) for b in _MI[i + 1 :]))
+def mutual_information(spark: SparkSession, d: str) -> DataFrame:
+    return advisor.mutual_information(table(spark, d, "part"), _MI).withColumn("mi", r(F.col("mi")))
+
+
+_SHAPE = "case when var < 1e-10 then 'constant' when zero > 0.5 then 'sparse' when bim > 0.55 then 'multimodal' when abs(skew) < 0.5 and abs(kurt - 3) < 1 then 'normal' when var < 0.1 then 'uniform' when kurt > 4 then 'heavy_tailed' when skew > 1 then 'log_normal' else 'unknown' end"
+_ADVISED = ("l_quantity", "l_extendedprice", "l_tax")
+
+
+@query(" union all ".join(f"""select '{c}' as feature, case {_SHAPE} when 'constant' then 'PASSTHROUGH' when 'uniform' then 'FLOAT_RESCALED' else 'FLOAT_NORMALIZED' end as feature_type, {_SHAPE} as distribution from
+(select var_samp({c}) var, avg((abs({c}) < 1e-10)::int) zero, {_skew(c, 'lineitem')} skew, kurtosis_pop({c}) + 3 kurt, 0 bim from lineitem)""" for c in _ADVISED) + " union all " + " union all ".join(f"select '{c}', 'STRING_CATEGORICAL', case when count(distinct {c}) < 50 then 'one_hot' when count(distinct {c}) < 100 then 'embedding' else 'hashing' end from lineitem" for c in ("l_returnflag", "l_linestatus")) + " union all select 'l_shipdate', 'DATE', null")
+def auto_configure(spark: SparkSession, d: str) -> DataFrame:
+    """Advice for a table from its statistics."""
+    types = {c: "FLOAT_NORMALIZED" for c in _ADVISED} | {"l_returnflag": "STRING_CATEGORICAL", "l_linestatus": "STRING_CATEGORICAL", "l_shipdate": "DATE"}
+    got = advisor.auto_configure(table(spark, d, "lineitem"), types)["features"]
+    return spark.createDataFrame([(c, a["feature_type"], a.get("distribution", a.get("encoding"))) for c, a in got.items()], "feature string, feature_type string, distribution string")
+
+
+_SERIES = {"group": SERIES[0], "order": SERIES[1], "lags": [1, 3], "rolling_size": 5, "difference_order": 1, "averages": [3], "features": ["mean", "max"], "calendar": ["month", "day_of_week"]}
+
+
+@query(f"""with s as (select avg(value) m, var_samp(value) v from events) select event_id, list_transform([(value - m) / greatest(sqrt(v), 1e-7), value, lag(value) over w, lag(value, 3) over w, {', '.join(f'case when row_number() over w >= 5 then {f}(value) over f end' for f in _ROLL.values())},
+value - lag(value) over w, avg(value) over m3, avg(value) over g, max(value) over g, month(ts), isodow(ts) - 1]::double[], lambda x: {rs('x')}) as features from events, s window w as ({W}), f as ({W} rows 4 preceding), m3 as ({W} rows 2 preceding), g as (partition by user_id)""")
+def pipeline_series(spark: SparkSession, d: str) -> DataFrame:
+    """A number and a series of the same table in one vector."""
+    df = table(spark, d, "events").withColumn("series", F.col("value"))
+    made = Pipeline([Feature("value", "FLOAT_NORMALIZED"), Feature("series", "TIME_SERIES", _SERIES)]).fit(df).transform(df, "concat", ["event_id"])
+    return made.select("event_id", ra(F.col("features")).alias("features"))
+
+
+@query(f"""with w as (select doc_id, {_tokens('text')} as w from documents), n as (select t, count(*) n from (select unnest(w) t from w) group by 1 order by n desc, t limit 50), v as (select list(t order by n desc, t) v from n)
+select doc_id, (list_transform(coalesce(w, []), lambda x: coalesce(list_position(v, x) + 1, 1)) || list_transform(range(0, 35), lambda i: 0))[1:35]::int[] as text from w, v""")
+def text_learned_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent tokens of a column become its vocabulary."""
+    df = table(spark, d, "documents")
+    return Pipeline([Feature("text", "TEXT", {"max_tokens": 50})]).fit(df).transform(df, "dict", ["doc_id"])
+
+
+@query(f"""with q as (select quantile_disc(c_acctbal, [0.25, 0.5, 0.75]) q, min(c_acctbal) lo, max(c_acctbal) hi from customer), v as (select c_name, row_number() over (order by c_name) i from (select distinct c_name from customer where c_name is not null))
+select c_custkey, {_r4('(c_acctbal - q[2]) / (q[3] - q[1])')} as a, {_r4('(c_acctbal - lo) / (hi - lo)')} as b, {_r4('2 * (row_number() over (order by c_acctbal nulls last) - 0.5) / count(c_acctbal) over () - 1')} as c, coalesce(i, 0)::bigint as c_name from customer left join v using (c_name), q""")
+def pipeline_scalings(spark: SparkSession, d: str) -> DataFrame:
+    """Transforms with statistics of the column, and the index in a vocabulary that is a table where it is large."""
+    df = table(spark, d, "customer").select("c_custkey", "c_name", *[F.col("c_acctbal").alias(k) for k in "abc"])
+    made = Pipeline([Feature("a", "FLOAT", {"transform": "robust"}), Feature("b", "FLOAT", {"transform": "min_max"}), Feature("c", "FLOAT", {"transform": "quantile"}), Feature("c_name", "STRING_CATEGORICAL", {"encoding": "index"})]).fit(df).transform(df, "dict", ["c_custkey"])
+    return made.select("c_custkey", *[(F.round(k, 4) + 0.0).alias(k) for k in "abc"], F.col("c_name").cast("long").alias("c_name"))
+
+
+_EMBEDDED = neural.Weights(0)("p_type.embedding", 32, 4)
+
+
+@query(f"select p_partkey, list_transform(([{', '.join(str([float(x) for x in row]) for row in _EMBEDDED)}]::double[][])[1 + {_hash('p_type', 32, 'a')}], lambda x: {rs('x')}) as p_type from part")
+def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "part")
+    made = Pipeline([Feature("p_type", "STRING_CATEGORICAL", {"encoding": "hash_embedding", "hash_bins": 32, "salt": "a", "embedding_dim": 4})]).fit(df).transform(df, "dict", ["p_partkey"])
+    return made.select("p_partkey", ra(F.col("p_type")).alias("p_type"))
+
+
+@query("select sum(len(w))::bigint as tokens, (select count(distinct t) from (select unnest(w) t from w)) as size, least((select count(distinct t) from (select unnest(w) t from w)), 10000) as vocab_size, round(avg(len(w)), 6) + 0.0 as mean_length, 100 as sequence_length from w".replace("select sum", f"with w as (select {_tokens('text')} as w from documents) select sum", 1))
+def text_record(spark: SparkSession, d: str) -> DataFrame:
+    return text.record(table(spark, d, "documents"), "text").withColumn("mean_length", r(F.col("mean_length")))
+
+
+@query(f"with n as (select max(event_id) - 100 as cut from events), h as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events, n where event_id <= cut) select event_id, user_id, value, false as is_new from h where rn <= 5 and user_id in (select user_id from events, n where event_id > cut) union all select event_id, user_id, value, true from events, n where event_id > cut")
+def incremental_history(spark: SparkSession, d: str) -> DataFrame:
+    """New rows with the last five rows of history of their series."""
+    df = table(spark, d, "events").select("event_id", "user_id", "value", "ts")
+    cut = df.agg(F.max("event_id") - 100).first()[0]
+    return inference.incremental(df.filter(F.col("event_id") <= cut), df.filter(F.col("event_id") > cut), *SERIES, need=5).drop("ts")
+
+
+@query("with f as (select user_id, avg(value) m, max(value) x from events group by 1) select user_id, " + ", ".join(f"{rs(f'({c} - min({c}) over ()) / nullif(max({c}) over () - min({c}) over (), 0)')} as {n}" for c, n in (("m", "mean"), ("x", "max"))) + " from f")
+def normalised_features(spark: SparkSession, d: str) -> DataFrame:
+    out = series.normalised(series.features(table(spark, d, "events"), "value", *SERIES), ["mean", "max"])
+    return out.select("user_id", r(F.col("mean")).alias("mean"), r(F.col("max")).alias("max"))
