@@ -133,10 +133,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # ids of labelled documents that are there: their ids alone are joined, the texts only of the sample
     there = written(_labelled(present.select("doc_id"), quality).distinct())
     ids = there.filter("quality = 1").orderBy(*order).limit(sample_rows).union(there.filter("quality = 0").orderBy(*order).limit(sample_rows))
-    # an id that many rows repeat is one of the sample, with the least features
-    known = present.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", _features_of(F.col("text")).alias("x")).filter("x[0] > 0").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow()
+    # an id that many rows repeat is one of the sample, with the greatest features; a filter of them here would be pushed
+    # below the join, and all documents' features computed for it
+    known = present.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", _features_of(F.col("text")).alias("x")).groupBy("doc_id", "quality").agg(F.max("x").alias("x")).toArrow()
     x = np.array(known["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES))
-    good = known["quality"].to_numpy() == 1
+    some = x[:, 0] > 0
+    x, good = x[some], known["quality"].to_numpy()[some] == 1
     if not good.any() or good.all():
         return None
     order = np.lexsort(x.T)  # rows come in any order
