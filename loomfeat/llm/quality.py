@@ -3,9 +3,10 @@
 A preference pair is a document labelled good and one labelled bad; the probability that the first is
 preferred is the logistic function of the difference of their scores, which are linear in the features.
 Training minimises the logistic loss of the feature differences of such pairs, drawn from a sample of at most SAMPLE_ROWS
-documents a class.  Every document is scored once.  A document stays if its score is at least the quantile
-GOOD_QUANTILE of the scores of all documents labelled good: this bounds the share of good documents that are lost
-whatever the share of bad ones in the corpus, where a quantile of all scores would reject as many of a clean corpus.
+documents a class.  Scores don't depend on how rows are batched, so that a text may be scored twice.  A document stays
+if its score is at least the quantile GOOD_QUANTILE of the scores of all documents labelled good: this bounds the share
+of good documents that are lost whatever the share of bad ones in the corpus, where a quantile of all scores would
+reject as many of a clean corpus.
 
 Defined results: null and empty texts have no word and get the lowest score (LOWEST, minus infinity is avoided),
 so they are rejected; equal feature vectors get equal scores; every row is scored for itself, so repeated rows
@@ -24,13 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfeat.llm import text as T
-from loomfeat.llm.shared import free, read, written
+from loomfeat.llm.shared import read, written
 from loomfeat.operators.stats import ranked
 
 SAMPLE_ROWS = 4000  # most labelled documents of each class that training uses
 PAIRS = 40_000
 GOOD_QUANTILE = 0.002
 LOWEST = -1e6
+FEW = 2_000_000  # ids of labelled documents that are broadcast at most
 FEATURES = ("log_words", "word_bytes", "symbols", "upper", "exclaim", "bars", "digits", "stops", "short_lines", "repeated_lines", "new_words", "words_a_line")
 
 _SYMBOL = np.zeros(256, bool)
@@ -111,11 +113,19 @@ def _features_of(text: Column) -> Column:
     return run(text)
 
 
+def weighted(x: np.ndarray, mean: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(x - mean) @ weights, each row summed in one order: the last bits of a matrix product depend on the batch around a row."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += (x[:, j] - mean[j]) * weights[j]
+    return out
+
+
 def score_of(text: Column, mean: np.ndarray, weights: np.ndarray) -> Column:
     @F.arrow_udf("double")
     def run(column: pa.Array) -> pa.Array:
         x = features(column)
-        return pa.array(np.where(x[:, 0] > 0, (x - mean) @ weights, LOWEST))
+        return pa.array(np.where(x[:, 0] > 0, weighted(x, mean, weights), LOWEST))
 
     return run(text)
 
@@ -146,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def _labelled(rows: DataFrame, quality: DataFrame) -> DataFrame:
-    small = quality.count() <= 2_000_000
+    small = quality.count() <= FEW
     return rows.join(F.broadcast(quality) if small else quality.hint("merge"), "doc_id")
 
 
@@ -172,13 +182,19 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, g
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, good_quantile: float = GOOD_QUANTILE) -> DataFrame:
     """The rows that are kept, with all their columns; null and empty texts go, empty tables stay empty.
 
-    The rows are written with their scores, which costs less than to score them again once the threshold is known.
+    Only ids and scores are written, for the threshold, of the documents labelled good if their ids can be broadcast and of
+    all beyond; the rows are then filtered by their scores, computed again.  A table of the texts would take as much disk as they do.
     """
     mean, weights, fitted = _scoring(docs, labels, sample_rows)
-    name = free("_score", docs)
-    both = written(docs.withColumn(name, score_of(F.col("text"), mean, weights)))
-    threshold = threshold_of(both.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("score")), labels, good_quantile) if fitted else 0.0
-    return both.filter(F.col(name) >= threshold).drop(name)
+    score = score_of(F.col("text"), mean, weights)
+    threshold = 0.0
+    if fitted:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        good = known_labels(labels).filter("quality = 1").select("doc_id")
+        if good.count() <= FEW:
+            rows = rows.join(F.broadcast(good), "doc_id", "left_semi")
+        threshold = threshold_of(written(rows.select("doc_id", score.alias("score"))), labels, good_quantile)
+    return docs.filter(score >= threshold)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
