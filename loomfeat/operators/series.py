@@ -126,19 +126,26 @@ def select_lags(acf: DataFrame, top_k: int = 5, threshold: float | None = None)
     return sorted(over or [k for k, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:top_k]])
 
 
+def totals(x: Column, w: WindowSpec) -> dict[str, Column]:
+    """Of each row the means, sums and ends of its whole series, added up in the order of the series: the last digit of a floating sum, and so a tie in rounding, depends on it."""
+    made = {"mean": F.avg(x), "min": F.min(x), "max": F.max(x), "sum": F.sum(x), "energy": F.sum(x * x), "abs_energy": F.sum(F.abs(x)), "abs_mean": F.avg(F.abs(x))}
+    return {k: c.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for k, c in made.items()}
+
+
 def features(df: DataFrame, value: str, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Statistics of each whole series, one row a group."""
     w, whole, x = window(group, order), Window.partitionBy(*group), F.col(value).cast("double")
     rn, n = F.row_number().over(w), F.count(F.lit(1)).over(whole)
     peak = (x > F.lag(x).over(w)) & (x > F.lead(x).over(w))
     valley = (x < F.lag(x).over(w)) & (x < F.lead(x).over(w))
-    rows = df.select(*group, x.alias("x"), (rn - 1).alias("t"), n.alias("n"), F.avg(x).over(whole).alias("m"), peak.cast("int").alias("peak"), valley.cast("int").alias("valley"))
+    summed = totals(x, w)
+    rows = df.select(*group, x.alias("x"), (rn - 1).alias("t"), n.alias("n"), *[c.alias(f"__{k}") for k, c in summed.items()], peak.cast("int").alias("peak"), valley.cast("int").alias("valley"))
     n, x, t = F.max("n"), F.col("x"), F.col("t")
     quantiles = {f"quantile_{int(q * 100):02d}": F.percentile("x", F.lit(q)) for q in (0.05, 0.25, 0.5, 0.75, 0.95)}
     many = {
-        "mean": F.avg(x), "std": F.stddev_pop(x), "min": F.min(x), "max": F.max(x), "sum": F.sum(x), "energy": F.sum(x * x), "abs_energy": F.sum(F.abs(x)), "abs_mean": F.avg(F.abs(x)), **quantiles,
+        **{k: F.max(f"__{k}") for k in summed}, "std": F.stddev_pop(x), **quantiles,
         "iqr": F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25)), "skewness": F.when(F.count(x) > 2, F.coalesce(F.skewness(x), F.lit(0.0))).otherwise(0.0), "kurtosis": F.when(F.count(x) > 3, F.coalesce(F.kurtosis(x), F.lit(0.0))).otherwise(0.0),
-        "count_above_mean": F.count_if(x > F.col("m")), "count_below_mean": F.count_if(x < F.col("m")), "first_max": F.min_by(t, F.struct(-x, t)) / n, "first_min": F.min_by(t, F.struct(x, t)) / n,
+        "count_above_mean": F.count_if(x > F.col("__mean")), "count_below_mean": F.count_if(x < F.col("__mean")), "first_max": F.min_by(t, F.struct(-x, t)) / n, "first_min": F.min_by(t, F.struct(x, t)) / n,
         "slope": F.coalesce(F.regr_slope(x, t), F.lit(0.0)), "intercept": F.coalesce(F.regr_intercept(x, t), F.lit(0.0)), "peaks": F.sum("peak") / n, "valleys": F.sum("valley") / n,
     }
     return rows.groupBy(*group).agg(*[F.coalesce(c, F.lit(0.0)).alias(k) if k in ("peaks", "valleys") else c.alias(k) for k, c in many.items()])

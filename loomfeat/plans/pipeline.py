@@ -346,8 +346,11 @@ def _series(df: DataFrame, f: Feature) -> tuple[DataFrame, list[Column], list[Co
         else:
             sources, out = columns, [original, *columns] if o.get("keep_original", True) else columns
     if o.get("features"):
-        whole = series.features(df, base, group, order).select(*[F.col(f"`{g}`").alias(f"{base}_g{i}") for i, g in enumerate(group)], *[F.col(k).alias(f"{base}_f_{k}") for k in o["features"]])
-        df = df.join(whole, [F.col(f"`{g}`").eqNullSafe(F.col(f"{base}_g{i}")) for i, g in enumerate(group)], "left").drop(*[f"{base}_g{i}" for i in range(len(group))])
+        summed = {k: c for k, c in series.totals(original, w).items() if k in o["features"]}
+        df = df.withColumns({f"{base}_f_{k}": c for k, c in summed.items()})
+        if others := [k for k in o["features"] if k not in summed]:
+            whole = series.features(df, base, group, order).select(*[F.col(f"`{g}`").alias(f"{base}_g{i}") for i, g in enumerate(group)], *[F.col(k).alias(f"{base}_f_{k}") for k in others])
+            df = df.join(whole, [F.col(f"`{g}`").eqNullSafe(F.col(f"{base}_g{i}")) for i, g in enumerate(group)], "left").drop(*[f"{base}_g{i}" for i in range(len(group))])
         out += [F.col(f"`{base}_f_{k}`") for k in o["features"]]
     if o.get("calendar"):
         known = dates.calendar(F.col(f"`{order[0]}`"))

@@ -229,3 +229,15 @@ def test_mutual_information_of_counts(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("b", "y", 1), ("b", "y", 2), (None, "y", 1)], "p string, q string, r int")
     got = {(r["a"], r["b"]): (round(r["mi"], 9), r["interacts"]) for r in advisor.mutual_information(df, ["p", "q", "r"]).collect()}
     assert got[("p", "q")] == (round(float(np.log(2)), 9), True) and got[("p", "r")] == (0.0, False)
+
+
+def test_features_of_a_series_are_summed_in_its_order(spark):
+    rng = np.random.default_rng(2)
+    data = {g: [float(v) for v in rng.integers(1, 20_000, 64) / 100] for g in range(20)}
+    df = spark.createDataFrame([(g, t, v) for g, x in data.items() for t, v in enumerate(x)], "g int, t int, x double").orderBy(F.desc("t")).repartition(5)
+    added = {g: float(np.cumsum(x)[-1]) for g, x in data.items()}
+    got = {r["g"]: r for r in series.features(df, "x", ["g"], ["t"]).select("g", "mean", "sum").collect()}
+    assert {g: (r["mean"], r["sum"]) for g, r in got.items()} == {g: (s / 64, s) for g, s in added.items()}
+    f = Feature("x", "TIME_SERIES", {"group": ["g"], "order": ["t"], "features": ["slope", "mean", "max"]})
+    rows_ = Pipeline([f]).fit(df).transform(df, "dict", ["g"]).collect()
+    assert len(rows_) == 1280 and all(r["x"][2:] == [added[r["g"]] / 64, max(data[r["g"]])] for r in rows_)
