@@ -24,7 +24,10 @@ def by_length(column: pa.Array, kernel: Callable[[np.ndarray], np.ndarray]) -> p
     off = np.r_[0, np.cumsum(width)]
     flat = np.empty(off[-1])
     for at, made in parts:
-        flat[(off[at][:, None] + np.arange(made.shape[1])).ravel()] = made.ravel()
+        if len(at) == len(column):
+            flat = made.ravel()
+        else:
+            flat[(off[at][:, None] + np.arange(made.shape[1])).ravel()] = made.ravel()
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat), mask=pa.array(sizes == 0))
 
 

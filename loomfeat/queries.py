@@ -453,8 +453,8 @@ _INPUTS = dict(zip(("a", "b", "c", "d"), (f"{c} / {s}" for c, s in zip(NUMBERS,
 def neural_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Every learned block with seeded weights over a vector of numbers."""
     v = F.array(*[F.col(c) / s for c, s in zip(NUMBERS, (50, 1e5, 0.1, 0.1), strict=True)])
-    blocks = {b: neural.apply(v, b, 4, **({"numeric": 2} if b == "multi_resolution" else {})) for b in neural.BLOCKS}
-    return table(spark, d, "lineitem").select(*LK.split(", "), *[F.transform(c, lambda x: F.round(x, 4) + F.lit(0.0)).alias(k) for k, c in blocks.items()])
+    blocks = {b: neural.apply(v, b, 4, digits=4, **({"numeric": 2} if b == "multi_resolution" else {})) for b in neural.BLOCKS}
+    return table(spark, d, "lineitem").select(*LK.split(", "), *[c.alias(k) for k, c in blocks.items()])
 
 
 def _inferred(c: str, kind: str) -> str:

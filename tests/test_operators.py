@@ -147,3 +147,15 @@ def test_dense_places_keep_rows_without_a_value(spark):
     for most in (0, 10):
         got = stats.dense(df, "x", "place", most)
         assert {r["t"]: r["place"] for r in got.collect()} == {1: 1.0, 2: None, 3: 0.0, 4: 1.0, 5: 0.5}
+
+
+def test_blocks_keep_rows_last_in_memory_and_round_in_the_batch(spark):
+    x = np.random.default_rng(4).normal(size=(5000, 4))
+    for block, run in neural.BLOCKS.items():
+        options = {"numeric": 2} if block == "multi_resolution" else {}
+        y = run(np.asfortranarray(x), neural.Weights(0), 4, **options)
+        assert y.strides[0] == 8 and np.allclose(y[4990:], run(x[4990:].copy(), neural.Weights(0), 4, **options), atol=1e-12)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "i int, v array<double>").coalesce(1)
+    got = {r["i"]: r["y"] for r in df.select("i", neural.apply(F.col("v"), "transformer", 4, digits=3).alias("y")).collect()}
+    assert np.allclose([got[i] for i in range(5000)], neural.transformer(x, neural.Weights(0), 4), atol=0.0005001) and all(round(v, 3) == v for v in got[4999])
+    assert neural._rounded(np.array([0.125, -0.125, -0.001, np.nan, np.inf]), 2).tolist()[:3] == [0.13, -0.13, 0.0]
