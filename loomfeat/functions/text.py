@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LITERAL_VOCABULARY = 1000  # tokens up to which a vocabulary is a literal map; beyond, Arrow looks them up
@@ -83,11 +84,29 @@ def record(df: DataFrame, column: str) -> DataFrame:
     return each.crossJoin(size).select("tokens", "size", F.least("size", F.lit(10000).cast("long")).alias("vocab_size"), "mean_length", F.lit(100).alias("sequence_length"))
 
 
+def counts(own: Column) -> Column:
+    """The distinct tokens of each array with their numbers, as an array of (token, tf)."""
+
+    @F.arrow_udf("array<struct<token: string, tf: bigint>>")
+    def run(column: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        coded = column.flatten().dictionary_encode()
+        width = max(len(coded.dictionary), 1)
+        place, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        off = np.searchsorted(place, np.arange(len(sizes) + 1) * width)
+        each = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(place % width)), pa.array(tf, pa.int64())], ["token", "tf"])
+        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), each)
+
+    return run(own)
+
+
 def tf_idf(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, token, tf, df, tf_idf) with idf = ln((1 + N) / (1 + df)) + 1; the tables meet on the token, which is skewed, so df comes from a window-free join AQE may split."""
-    words = df.select(F.col(key), F.explode(tokens(F.col(column))).alias("token"))
-    tf = words.groupBy(key, "token").agg(F.count("*").alias("tf"))
-    seen = tf.groupBy("token").agg(F.count("*").alias("df"))
+    """(key, token, tf, df, tf_idf) with idf = ln((1 + N) / (1 + df)) + 1.
+
+    Tokens are counted within each row, so that one shuffle by token carries a row for each token of a document; there
+    the counts of equal keys meet, and documents are counted, for which no other exchange and no join is needed.
+    """
+    each = df.select(F.col(key), F.explode(counts(tokens(F.col(column)))).alias("c")).select(key, "c.token", "c.tf").repartition("token")
+    tf = each.groupBy(key, "token").agg(F.sum("tf").alias("tf")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
     rows = df.select(F.count("*").alias("__n"))
-    joined = tf.join(seen, "token").crossJoin(F.broadcast(rows))
-    return joined.select(key, "token", "tf", "df", (F.col("tf") * (F.ln((1 + F.col("__n")) / (1 + F.col("df"))) + 1)).alias("tf_idf"))
+    return tf.crossJoin(F.broadcast(rows)).select(key, "token", "tf", "df", (F.col("tf") * (F.ln((1 + F.col("__n")) / (1 + F.col("df"))) + 1)).alias("tf_idf"))

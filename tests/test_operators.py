@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomfeat.functions import dates, numeric
+from loomfeat.functions import dates, numeric, text
 from loomfeat.operators import advisor, arrays, inference, neural, series, stats
 from loomfeat.plans.pipeline import Feature, Fitted, Pipeline
 from loomfeat.sources.csv import read_csv, write_csv
@@ -159,3 +159,15 @@ def test_blocks_keep_rows_last_in_memory_and_round_in_the_batch(spark):
     got = {r["i"]: r["y"] for r in df.select("i", neural.apply(F.col("v"), "transformer", 4, digits=3).alias("y")).collect()}
     assert np.allclose([got[i] for i in range(5000)], neural.transformer(x, neural.Weights(0), 4), atol=0.0005001) and all(round(v, 3) == v for v in got[4999])
     assert neural._rounded(np.array([0.125, -0.125, -0.001, np.nan, np.inf]), 2).tolist()[:3] == [0.13, -0.13, 0.0]
+
+
+def test_tf_idf_shuffles_counts_once_and_joins_equal_keys(spark):
+    rows = [(1, "a b a"), (1, "a c"), (None, "b b"), (None, "b"), (2, None), (3, " ,; "), (4, "c C c. d" * 2)]
+    df = spark.createDataFrame(rows, "k int, x string").repartition(3)
+    out = text.tf_idf(df, "k", "x")
+    got = {(r["k"], r["token"]): (r["tf"], r["df"], r["tf_idf"]) for r in out.collect()}
+    want = {(1, "a"): (3, 1), (1, "b"): (1, 2), (1, "c"): (1, 2), (None, "b"): (3, 2), (4, "c"): (5, 2), (4, "d"): (1, 1), (4, "dc"): (1, 1)}
+    assert got.keys() == want.keys()
+    assert all(got[k][:2] == v and abs(got[k][2] - v[0] * (np.log(8 / (1 + v[1])) + 1)) < 1e-12 for k, v in want.items())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.count("Join") == 1  # with the number of rows only
