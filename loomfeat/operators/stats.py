@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,69 @@ def grouped(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     )
 
 
+COLLECTED = 20_000  # rows of a bracket from which its distinct values are collected
+
+
+def percentiles(df: DataFrame, column: str, shares: Sequence[float], collected: int = COLLECTED) -> list[float | None]:
+    """Exact percentiles with linear interpolation, NULL left out; of no values None.
+
+    F.percentile merges all distinct values in one task.  Here each rank that is needed lies between two values, which
+    come nearer in each round: approximate percentiles of the rows between propose two values about the rank, rows below
+    and up to them are counted, and so the bracket holds the rank whatever the approximation was worth.  Only states of
+    fixed size and at last the values of brackets of up to ``collected`` rows leave the tasks.
+    """
+    x = F.col(f"`{column}`").cast("double")
+    known, x = df.select(x.alias("x")).filter("x is not null and not isnan(x)"), F.col("x")
+    n, least, most = known.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    count = n + df.select(F.count_if(F.isnan(F.col(f"`{column}`").cast("double")))).first()[0]  # NaN is beyond all others
+    if not count:
+        return [None] * len(shares)
+    places = [(count - 1) * q for q in shares]
+    # rank from 0: [least value, greatest value, rows below, rows between]
+    open_ = {k: [least, most, 0, n] for p in places for k in (math.floor(p), math.ceil(p)) if k < n}
+    within = lambda b: (x >= b[0]) & (x <= b[1])
+    done: dict[int, float] = {k: math.nan for p in places for k in (math.floor(p), math.ceil(p)) if k >= n}
+    done |= {0: least, n - 1: most} if n else {}
+    while True:
+        done |= {k: b[0] for k, b in open_.items() if b[0] == b[1]}
+        open_ = {k: b for k, b in open_.items() if k not in done}
+        wide = {k: b for k, b in open_.items() if b[3] > collected}
+        if not wide:
+            break
+        near = {k: [min(max((k - b[2] + d * b[3] / 500) / b[3], 0.0), 1.0) for d in (-1, 1)] for k, b in wide.items()}
+        shared: dict[tuple, list[int]] = {}  # one state for the ranks of a bracket
+        for k, b in wide.items():
+            shared.setdefault((b[0], b[1]), []).append(k)
+        found = known.agg(*[F.percentile_approx(F.when(within(b), x), [q for k in ks for q in near[k]], 1000).alias(f"c{i}") for i, (b, ks) in enumerate(shared.items())]).first()
+        cuts = {k: found[i][2 * j : 2 * j + 2] for i, ks in enumerate(shared.values()) for j, k in enumerate(ks)}
+        counted = known.agg(*[F.count_if(c).alias(f"{k}_{i}") for k in wide for i, c in enumerate((x < cuts[k][0], x <= cuts[k][0], x < cuts[k][1], x <= cuts[k][1]))]).first()
+        inner = {}
+        for k, b in wide.items():
+            (low, high), (l0, l1, h0, h1) = cuts[k], (counted[f"{k}_{i}"] for i in range(4))
+            if l0 <= k < l1:
+                open_[k] = [low, low, l0, l1 - l0]
+            elif h0 <= k < h1:
+                open_[k] = [high, high, h0, h1 - h0]
+            else:  # below, above or strictly between the two
+                before, after, where = (b[2], l0, x < low) if k < l0 else (h1, b[2] + b[3], x > high) if k >= h1 else (l1, h0, (x > low) & (x < high))
+                open_[k] = [*b[:2], before, after - before]
+                inner[k] = F.when(within(b) & where, x)
+        if inner:
+            ends = known.agg(*[f(c).alias(f"{k}_{f.__name__}") for k, c in inner.items() for f in (F.min, F.max)]).first()
+            open_ |= {k: [ends[f"{k}_min"], ends[f"{k}_max"], *open_[k][2:]] for k in inner}
+    if open_:
+        values = known.filter(reduce(or_, map(within, open_.values()))).groupBy("x").count().collect()  # at most ``collected`` a rank
+        for k, b in open_.items():
+            at = b[2]
+            for v, c in sorted((r for r in values if b[0] <= r[0] <= b[1]), key=lambda r: r[0]):
+                at += c
+                if k < at:
+                    done[k] = v
+                    break
+    ends = [(p, done[math.floor(p)], done[math.ceil(p)]) for p in places]
+    return [a if p == math.floor(p) or a == b else (math.ceil(p) - p) * a + (p - math.floor(p)) * b for p, a, b in ends]
+
+
 def histogram(df: DataFrame, value: str, least: float, most: float, bins: int = 100) -> DataFrame:
     """(bin, n) of the bins that hold values."""
     x = F.col(f"`{value}`").cast("double")

@@ -139,7 +139,9 @@ def multimodality(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select {', '.join(f'{rs(f"quantile_cont(c_acctbal, {q})")} as q{int(q * 100)}' for q in (0.25, 0.5, 0.75))} from customer")
 def order_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").agg(*[r(F.percentile("c_acctbal", F.lit(q))).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)])
+    shares = (0.25, 0.5, 0.75)
+    found = spark.createDataFrame([tuple(stats.percentiles(table(spark, d, "customer"), "c_acctbal", shares))], "a double, b double, c double")
+    return found.select(*[r(F.col(c)).alias(f"q{int(q * 100)}") for c, q in zip("abc", shares, strict=True)])
 
 
 LK = "l_orderkey, l_linenumber"
@@ -162,8 +164,8 @@ def discretize(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with q as (select quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) e, min(l_extendedprice) lo, max(l_extendedprice) hi from lineitem) select {LK}, (l_extendedprice >= e[1])::int + (l_extendedprice >= e[2])::int + (l_extendedprice >= e[3])::int as quantile_bin, greatest(0, least(9, floor((l_extendedprice - lo) / (hi - lo + 1e-6) * 10)))::int as uniform_bin from lineitem, q")
 def learned_bins(spark: SparkSession, d: str) -> DataFrame:
     df, x = table(spark, d, "lineitem"), F.col("l_extendedprice")
-    s = df.agg(F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))), F.min(x), F.max(x)).first()
-    return df.select(*LK.split(", "), numeric.bucket(x, s[0]).alias("quantile_bin"), numeric.uniform_bin(x, s[1], s[2], 10).alias("uniform_bin"))
+    *edges, least, most = stats.percentiles(df, "l_extendedprice", (0.25, 0.5, 0.75, 0.0, 1.0))
+    return df.select(*LK.split(", "), numeric.bucket(x, [e for e in edges if e is not None]).alias("quantile_bin"), numeric.uniform_bin(x, least or 0.0, most or 0.0, 10).alias("uniform_bin"))
 
 
 _X = "c_acctbal"
@@ -180,8 +182,8 @@ def _r4(x: str) -> str:
 @query("with s as (select min(c_acctbal) lo, max(c_acctbal) hi, quantile_cont(c_acctbal, 0.5) md, quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25) iqr from customer) select c_custkey, " + ", ".join(f"{_r4(x)} as {k}" for k, x in _SHAPES.items()) + f", {_r4('(c_acctbal - lo) / (hi - lo)')} as min_max, {_r4('(c_acctbal - md) / iqr')} as robust from customer, s")
 def distribution_transforms(spark: SparkSession, d: str) -> DataFrame:
     df, x = table(spark, d, "customer"), F.col(_X)
-    s = df.agg(F.min(x), F.max(x), F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75))))).first()
-    made = {k: f(x, 0.5) if k in ("box_cox", "yeo_johnson") else f(x) for k, f in numeric.TRANSFORMS.items()} | {"min_max": numeric.min_max(x, s[0], s[1]), "robust": numeric.robust(x, s[2][1], s[2][2] - s[2][0])}
+    *q, least, most = stats.percentiles(df, _X, (0.25, 0.5, 0.75, 0.0, 1.0))
+    made = {k: f(x, 0.5) if k in ("box_cox", "yeo_johnson") else f(x) for k, f in numeric.TRANSFORMS.items()} | {"min_max": numeric.min_max(x, least, most), "robust": numeric.robust(x, q[1], q[2] - q[0])}
     return df.select("c_custkey", *[(F.round(c, 4) + 0.0).alias(k) for k, c in made.items()])
 
 

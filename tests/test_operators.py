@@ -171,3 +171,15 @@ def test_tf_idf_shuffles_counts_once_and_joins_equal_keys(spark):
     assert all(got[k][:2] == v and abs(got[k][2] - v[0] * (np.log(8 / (1 + v[1])) + 1)) < 1e-12 for k, v in want.items())
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and plan.count("Join") == 1  # with the number of rows only
+
+
+@pytest.mark.parametrize("collected", [0, 7, 10_000])
+def test_percentiles_in_brackets_are_the_exact_ones(spark, collected):
+    rng = np.random.default_rng(8)
+    many = {"wide": np.r_[rng.normal(size=900), 1e300, -1e300, np.inf], "equal": np.full(500, 0.1), "ties": rng.integers(0, 3, 701), "one": [2.5], "nan": np.r_[rng.normal(size=300), [np.nan] * 200], "only_nan": [np.nan, np.nan]}
+    shares = (0.0, 0.1, 0.25, 0.5, 0.613, 0.75, 1.0)
+    for x in many.values():
+        df = spark.createDataFrame([(None,), *((float(v),) for v in x)], "v double").repartition(3)
+        want = df.agg(F.percentile("v", F.array(*map(F.lit, shares)))).first()[0]
+        assert np.array_equal(stats.percentiles(df, "v", shares, collected), want, equal_nan=True)
+    assert stats.percentiles(spark.createDataFrame([(None,)], "v double"), "v", shares) == [None] * 7
