@@ -25,7 +25,9 @@ def clean(x: Column, stop_words: Sequence[str] = ()) -> Column:
 
 
 def tokens(x: Column, stop_words: Sequence[str] = ()) -> Column:
-    return F.filter(F.split(clean(x, stop_words), " "), lambda t: t != "")
+    """The tokens of the cleaned text; without stop words by one pattern, with no lambda over the pieces."""
+    pieces = F.split(clean(x, stop_words), " ") if stop_words else F.split(F.lower(x), PUNCTUATION[:-1] + r"\s]+")
+    return F.array_remove(pieces, "")
 
 
 def _ids(own: Column, vocabulary: Sequence[str]) -> Column:
@@ -44,20 +46,23 @@ def _ids(own: Column, vocabulary: Sequence[str]) -> Column:
     return run(own)
 
 
-def vectorize(x: Column, vocabulary: Sequence[str], length: int = 35, stop_words: Sequence[str] = ()) -> Column:
-    """Token indices, padded with 0 and cut at ``length``; 1 is out of vocabulary, the vocabulary begins at 2."""
-    ids = _ids(F.slice(tokens(x, stop_words), 1, length), vocabulary)
+def vectorize(x: Column, vocabulary: Sequence[str], length: int = 35, stop_words: Sequence[str] = (), own: Column | None = None) -> Column:
+    """Token indices, padded with 0 and cut at ``length``; 1 is out of vocabulary, the vocabulary begins at 2.
+
+    Here and below ``own`` is a column that holds the tokens already, so that several results cut the text once.
+    """
+    ids = _ids(F.slice(tokens(x, stop_words) if own is None else own, 1, length), vocabulary)
     return F.slice(F.concat(ids, F.array_repeat(F.lit(0), length)), 1, length)
 
 
-def multi_hot(x: Column, vocabulary: Sequence[str]) -> Column:
-    own = tokens(x)
+def multi_hot(x: Column, vocabulary: Sequence[str], own: Column | None = None) -> Column:
+    own = tokens(x) if own is None else own
     return F.array(*[F.when(F.array_contains(own, v), 1.0).otherwise(0.0) for v in vocabulary])
 
 
-def ngrams(x: Column, n: int) -> Column:
+def ngrams(x: Column, n: int, own: Column | None = None) -> Column:
     """Runs of ``n`` tokens.  The shifted arrays are joined pairwise: a lambda over positions would cut the whole text again for each of them."""
-    own = tokens(x)
+    own = tokens(x) if own is None else own
     many = F.greatest(F.size(own) - (n - 1), F.lit(0))
     out = F.slice(own, F.lit(1), many)
     for i in range(1, n):

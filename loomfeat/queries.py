@@ -266,8 +266,9 @@ VOCABULARY = ("data", "the", "time", "people", "and")
 @query(f"""with t as (select item_id, {_tokens('text')} as w from benchmark), v as (select {list(VOCABULARY)!r} as v) select item_id, (list_transform(w, lambda x: coalesce(list_position(v, x) + 1, 1)) || list_transform(range(0, 35), lambda i: 0))[1:35]::int[] as ids,
 list_transform(v, lambda x: case when list_contains(w, x) then 1.0 else 0.0 end)::double[] as hot, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as bigrams from t, v""")
 def text_vectorize(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("text")
-    return table(spark, d, "benchmark").select("item_id", text.vectorize(x, VOCABULARY).alias("ids"), text.multi_hot(x, VOCABULARY).alias("hot"), text.ngrams(x, 2).alias("bigrams"))
+    x, own = F.col("text"), F.col("own")
+    df = table(spark, d, "benchmark").select("item_id", "text", text.tokens(x).alias("own"))
+    return df.select("item_id", text.vectorize(x, VOCABULARY, own=own).alias("ids"), text.multi_hot(x, VOCABULARY, own).alias("hot"), text.ngrams(x, 2, own).alias("bigrams"))
 
 
 @query(rf"""select doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '{text.PUNCTUATION.replace("'", "''")}', ' ', 'g'), '\b(the|a|and|of)\b\s?', ' ', 'g'), '\s+', ' ', 'g') as cleaned from documents""")
@@ -278,8 +279,9 @@ def text_clean_documents(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with t as (select doc_id, text, {_tokens('text')} as w from documents), v as (select {list(VOCABULARY)!r} as v) select doc_id, case when text is not null then (list_transform(w, lambda x: coalesce(list_position(v, x) + 1, 1)) || list_transform(range(0, 35), lambda i: 0))[1:35]::int[] end as ids,
 list_transform(v, lambda x: case when list_contains(w, x) then 1.0 else 0.0 end)::double[] as hot, case when len(w) > 1 then list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2]) else [] end as bigrams from t, v""")
 def text_vectorize_documents(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("text")
-    return table(spark, d, "documents").select("doc_id", text.vectorize(x, VOCABULARY).alias("ids"), text.multi_hot(x, VOCABULARY).alias("hot"), text.ngrams(x, 2).alias("bigrams"))
+    x, own = F.col("text"), F.col("own")
+    df = table(spark, d, "documents").select("doc_id", "text", text.tokens(x).alias("own"))
+    return df.select("doc_id", text.vectorize(x, VOCABULARY, own=own).alias("ids"), text.multi_hot(x, VOCABULARY, own).alias("hot"), text.ngrams(x, 2, own).alias("bigrams"))
 
 
 @query(f"with w as (select doc_id, unnest({_tokens('text')}) as token from documents), tf as (select doc_id, token, count(*) as tf from w group by all), df as (select token, count(*) as df from tf group by 1) select doc_id, token, tf, df, {rs('tf * (ln((1 + (select count(*) from documents)) / (1 + df)::double) + 1)')} as tf_idf from tf join df using (token)")

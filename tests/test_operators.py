@@ -183,3 +183,14 @@ def test_percentiles_in_brackets_are_the_exact_ones(spark, collected):
         want = df.agg(F.percentile("v", F.array(*map(F.lit, shares)))).first()[0]
         assert np.array_equal(stats.percentiles(df, "v", shares, collected), want, equal_nan=True)
     assert stats.percentiles(spark.createDataFrame([(None,)], "v double"), "v", shares) == [None] * 7
+
+
+def test_tokens_are_cut_once_for_several_results(spark):
+    texts = [None, "", " ", "a", "?!", "The-CAT  sat\ton\n\x0b[the] mat_é　x", "a b\\c^d`e~", ".a b.", "\r\f x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    before = F.filter(F.split(text.clean(F.col("x")), " "), lambda t: t != "")
+    assert all(r["a"] == r["b"] for r in df.select(before.alias("a"), text.tokens(F.col("x")).alias("b")).collect())
+    x, own = F.col("x"), F.col("own")
+    many = df.select("x", text.tokens(x).alias("own")).select(text.vectorize(x, ["the"], 5, own=own).alias("v"), text.multi_hot(x, ["the"], own).alias("h"), text.ngrams(x, 2, own).alias("g"))
+    assert many.collect() == df.select(text.vectorize(x, ["the"], 5).alias("v"), text.multi_hot(x, ["the"]).alias("h"), text.ngrams(x, 2).alias("g")).collect()
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
